@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import materialise, pack, shuffle_partitions, text_slices, unpack, window_hashes, word_hashes, word_spans
+from weftgraph.llm.shared import materialise, mix, pack, shuffle_partitions, text_slices, unpack, window_hashes, word_hashes, word_spans
 
 BLOCK_WINDOWS = 4 << 20
 #: Removal intervals of up to so many packed bytes are broadcast to the texts; beyond that both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
 _ENTRY = "bucket long, ids binary, prints binary, counts binary, places binary, hashes binary"
-_FLAG = "id long, print long, places binary"
+_FLAG = "part long, ids binary, prints binary, counts binary, places binary"
+_RUNS = "id long, print long, runs binary"
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -108,37 +109,63 @@ def _windows(window: int, n_buckets: int):
     return run
 
 
-def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All entries of some buckets -> (document, flagged places)."""
-    schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("places", pa.binary())])
+def _flagged(n_parts: int):
+    """All entries of some hash buckets -> flagged places, packed for each of `n_parts` parts of the documents."""
+    schema = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("ids", "prints", "counts", "places"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, hits = [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = unpack(row["counts"])
+                ids, prints = (np.repeat(x, counts) for x in (unpack(row["ids"]), np.frombuffer(row["prints"], np.uint32)))
+                if row["bucket"] < 0:
+                    hits.append((ids, prints, unpack(row["places"])))
+                else:
+                    got.append((ids, prints, unpack(row["places"]), np.frombuffer(row["hashes"], np.uint64)))
+        if got:
+            ids, prints, place, hashes = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
+            order = np.lexsort((ids, hashes))
+            starts = _runs(hashes[order])
+            least = np.repeat(ids[order[starts]], np.diff(np.append(starts, len(order))))
+            hit = order[ids[order] > least]
+            hits.append((ids[hit], prints[hit], place[hit]))
+        if not hits:
+            return
+        ids, prints, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+        part = (mix(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        order = np.lexsort((place, prints, ids, part))
+        part, ids, prints, place = part[order], ids[order], prints[order], place[order]
+        cuts = np.append(_runs(part), len(part))
+        rows = []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            at = _runs(ids[a:z], prints[a:z])
+            rows.append({"part": int(part[a]), "ids": pack(ids[a:z][at]), "prints": prints[a:z][at].tobytes(), "counts": pack(np.diff(np.append(at, z - a))), "places": pack(place[a:z])})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
 
-    def out(ids, prints, place):
-        at = _runs(ids, prints)
-        cuts = np.append(at, len(ids))
-        for k in range(0, len(at), 4096):
-            part = range(k, min(k + 4096, len(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at[k : k + 4096]]), pa.array(prints[at[k : k + 4096]]), pa.array([_intervals(place[cuts[i] : cuts[i + 1]]) for i in part], pa.binary())], schema=schema)
 
-    got: list = []
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All flags of some documents -> one row a document with the runs of its flagged places."""
+    hits = []
     for batch in batches:
         for row in batch.to_pylist():
             counts = unpack(row["counts"])
-            ids, prints = (np.repeat(x, counts) for x in (unpack(row["ids"]), np.frombuffer(row["prints"], np.uint32).astype(np.int64)))
-            place = unpack(row["places"])
-            if row["bucket"] < 0:
-                yield from out(ids, prints, place)
-            else:
-                got.append((ids, prints, place, np.frombuffer(row["hashes"], np.uint64)))
-    if not got:
+            hits.append((np.repeat(unpack(row["ids"]), counts), np.repeat(np.frombuffer(row["prints"], np.uint32), counts), unpack(row["places"])))
+    if not hits:
         return
-    ids, prints, place, hashes = (np.concatenate(x) for x in zip(*got, strict=True))
-    got.clear()
-    order = np.lexsort((ids, hashes))
-    starts = _runs(hashes[order])
-    least = np.repeat(ids[order[starts]], np.diff(np.append(starts, len(order))))
-    hit = order[ids[order] > least]
-    hit = hit[np.lexsort((place[hit], prints[hit], ids[hit]))]
-    yield from out(ids[hit], prints[hit], place[hit])
+    ids, prints, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+    hits.clear()
+    order = np.lexsort((place, prints, ids))
+    ids, prints, place = ids[order], prints[order].astype(np.int64), place[order]
+    at = _runs(ids, prints)
+    cuts = np.append(at, len(ids))
+    for k in range(0, len(at), 4096):
+        now = at[k : k + 4096]
+        runs = pa.array([_intervals(place[cuts[i] : cuts[i + 1]]) for i in range(k, k + len(now))], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[now]), pa.array(prints[now]), runs], names=["id", "print", "runs"])
 
 
 def _intervals(place: np.ndarray) -> bytes:
@@ -154,8 +181,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             words = (text.as_py() or "").encode().split()
             pairs: list = []
             if runs.is_valid:
-                flat = np.sort(np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 2) for r in runs.as_py()]), axis=0)
-                for a, z in flat.tolist():  # starts and ends sorted apart merge to the same union
+                for a, z in np.frombuffer(runs.as_py(), np.int64).reshape(-1, 2).tolist():
                     if pairs and a <= pairs[-1][1]:
                         pairs[-1][1] = max(pairs[-1][1], z + window - 1)
                     else:
@@ -191,9 +217,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = src.where("id is not null and text is not null").select("id", "print", "text").mapInArrow(_windows(window, buckets), _ENTRY)
     # local flags (bucket -1) are spread by their bytes
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.crc32("places"))
-    flags = entries.withColumn("part", spread).repartition(n, "part").drop("part").mapInArrow(_flagged, _FLAG)
-    runs = materialise(flags.groupBy("id", "print").agg(F.collect_list("places").alias("runs")), "repeats")
-    size = runs.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + F.length(x)) + 64)).first()[0] or 0
+    flags = entries.withColumn("key", spread).repartition(n, "key").drop("key").mapInArrow(_flagged(4 * n), _FLAG)
+    runs = materialise(flags.repartition(n, "part").mapInArrow(_merged, _RUNS), "repeats")
+    size = runs.agg(F.sum(F.length("runs") + 64)).first()[0] or 0
     small = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
     met = src.join(small, ["id", "print"], "left").select("id", "text", "runs")
     out = met.mapInArrow(lambda it: _cut(it, window), "id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")
