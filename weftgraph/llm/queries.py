@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import substring_dedup
+from weftgraph.llm import ngram_join, substring_dedup
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_ngram_join": ngram_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
 }
