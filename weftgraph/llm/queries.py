@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import ngram_join, substring_dedup
+from weftgraph.llm import decontaminate, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_mix": mixing.op8_mix,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL = {
     "op2_ngram_join": ngram_join.SQL,
+    "op3_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
 }
