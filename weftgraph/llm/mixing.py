@@ -70,8 +70,8 @@ def pivot(units: list[list], rng: random.Random) -> list | None:
         if u[-2] <= 0 or u[-1] < _EDGE or u[-1] > 1 - _EDGE:
             u[-1] = float(u[-1] > 0.5)
             continue
-        if held is not None and held[-2] > 2 * u[-2] and held[-2] / rest[k] < 0.5 * min(low + shift, 1 - high - shift):
-            p = held[-1]
+        p, part = (held[-1], held[-2] / rest[k]) if held is not None else (0.0, 0.0)
+        if held is not None and held[-2] > 2 * u[-2] and low + shift - (1 - p) * part > 0.01 and high + shift + p * part < 0.99:
             held[-1] = float(rng.random() < p)
             shift -= (held[-1] - p) * held[-2] / rest[k]
             held = None
