@@ -1,8 +1,73 @@
-"""A corpus pipeline of the subpackage llm's operators."""
+"""A corpus pipeline of the subpackage llm's operators: quality rules, near duplicates, decontamination, mixing, training order.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but the last, which returns the sequences in training
+order. Stages find documents by doc_id, which is unique in documents; rows that share one are kept or dropped together. Nulls, empty
+texts and empty tables are as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm.decontaminate import decontaminate
+from weftgraph.llm.mixing import mix_sources
+from weftgraph.llm.ngram_join import ngram_jaccard_join
+from weftgraph.llm.quality import quality_rules, trusted_ids
+from weftgraph.llm.shared import materialise
+from weftgraph.llm.training_order import training_order
+
+#: Ids up to so many are broadcast to the texts; beyond that both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    ids = materialise(ids.select("doc_id").where("doc_id is not null").distinct(), name)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))).where("kept").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of five-word shingle similarity 0.8 or more the document of the smallest id stays."""
+    return _without(docs, ngram_jaccard_join(docs, k=5, num=80).where("doc_id <> component_id"), "near")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go."""
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"), "contaminated")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it."""
+    copies = mix_sources(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    copies = materialise(copies, "copies")
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    return docs.join(side, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+
+
+def training_order_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of token ids in their slots."""
+    return training_order(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("token-ID / binary output", training_order_stage),
+]
+
+#: The log-likelihood ratio, the dependent rounding and the permutation are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", ""))
+    return STAGES[-1][1](spark, docs, sf_dir)
