@@ -81,8 +81,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     out = base_counts(docs, text_col).withColumn("_features", F.expr(features(BUCKETS))).withColumn("_weights", weights.scalar())
     out = out.withColumn("_sum", F.expr("aggregate(_features, 0L, (a, f) -> a + _weights[f])"))
     out = out.withColumn("score", F.when(F.size("_features") > 0, F.col("_sum") / F.size("_features")).otherwise(F.lit(0.0)))
+    # the one-row explode keeps later filters on these columns from being pushed below, where they would be computed anew by element
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+    out = out.select(*[c for c in docs.columns if c not in (*names, "base_failed", "kept")], F.explode(F.array(F.struct(*names))).alias("_judged")).select("*", "_judged.*").drop("_judged")
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold * SCALE)).drop("_hash", "_tail", "_features", "_weights", "_sum")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold * SCALE))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

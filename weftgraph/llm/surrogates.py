@@ -158,9 +158,10 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - Null and repeated ids and rows are kept, each row by itself. Columns other than the two named don't matter. No rows give none.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = src.withColumn("found", F.regexp_extract_all("text", F.lit(EVERY), 0)).withColumn("print", F.xxhash64("text"))
-    plain = src.where(~F.coalesce(F.col("text").rlike(EVERY), F.lit(False))).select("id", "text", F.lit(0).cast("long").alias("n_entities"))
-    hits = materialise(found.where(F.size("found") > 0).select("id", "print", "text", "found"), "found")
+    has = F.coalesce(F.col("text").rlike(EVERY), F.lit(False))
+    found = src.where(has).withColumn("found", F.regexp_extract_all("text", F.lit(EVERY), 0)).withColumn("print", F.xxhash64("text"))
+    plain = src.where(~has).select("id", "text", F.lit(0).cast("long").alias("n_entities"))
+    hits = materialise(found.select("id", "print", "text", "found"), "found")
     each = hits.select("id", "print", F.explode(F.array_distinct("found")).alias("entity")).distinct()
     table = surrogate_table(each.select("entity").distinct(), key)
     # of a hot entity every text needs the same short row: a map-side copy of the table would grow with it, so it is joined
