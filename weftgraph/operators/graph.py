@@ -75,9 +75,9 @@ def roles(degree: DataFrame, framework: DataFrame) -> DataFrame:
     return known.select("node", role.when(F.col("in_degree") == 0, "ENTRY_CANDIDATE").when(F.col("out_degree") == 0, "LEAF").otherwise("NORMAL").alias("role"))
 
 
-def splice(edges: DataFrame, excluded: DataFrame, rounds: int = 8) -> DataFrame:
-    """Edges between nodes that are not `excluded` (node), with those reached through excluded nodes only spliced in; at most `rounds`
-    excluded nodes in a row, of which a chain of more is an error of the caller's bound."""
+def splice(edges: DataFrame, excluded: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Edges between nodes that are not `excluded` (node), with those reached through excluded nodes only spliced in; the loop
+    ends when no new excluded node is reached, so cycles of them end too."""
     ex = excluded.select("node").distinct()
     into = edges.join(ex, edges.callee == ex.node, "left_semi")
     out = edges.join(ex, edges.callee == ex.node, "left_anti").join(ex, F.col("caller") == ex.node, "left_anti")
@@ -85,8 +85,10 @@ def splice(edges: DataFrame, excluded: DataFrame, rounds: int = 8) -> DataFrame:
     inner = edges.join(ex, edges.caller == ex.node, "left_semi").select(F.col("caller").alias("via"), "callee")
     seen = front
     for _ in range(rounds):
-        step = front.join(inner, "via").select("caller", "callee").distinct()
+        step = _fold(front.join(inner, "via").select("caller", "callee").distinct())
         out = out.unionByName(step.join(ex, step.callee == ex.node, "left_anti"))
-        front = step.join(ex, step.callee == ex.node, "left_semi").select("caller", F.col("callee").alias("via")).join(seen, ["caller", "via"], "left_anti")
-        seen = seen.unionByName(front)
+        front = _fold(step.join(ex, step.callee == ex.node, "left_semi").select("caller", F.col("callee").alias("via")).join(seen, ["caller", "via"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = _fold(seen.unionByName(front))
     return out.distinct()
