@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _fold(df: DataFrame) -> DataFrame:
-    """Cut lineage where a checkpoint folder is named; else keep the plan, which grows by a join a round."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from weftgraph.operators.lineage import cut
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
@@ -17,10 +14,10 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame
     front = seen
     for depth in range(1, most + 1):
         step = front.join(edges, front.node == edges.caller).select(F.col("callee").alias("node")).distinct()
-        front = _fold(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if front.isEmpty():
             break
-        seen = _fold(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
     return seen
 
 
@@ -85,10 +82,10 @@ def splice(edges: DataFrame, excluded: DataFrame, rounds: int = 1000) -> DataFra
     inner = edges.join(ex, edges.caller == ex.node, "left_semi").select(F.col("caller").alias("via"), "callee")
     seen = front
     for _ in range(rounds):
-        step = _fold(front.join(inner, "via").select("caller", "callee").distinct())
+        step = cut(front.join(inner, "via").select("caller", "callee").distinct())
         out = out.unionByName(step.join(ex, step.callee == ex.node, "left_anti"))
-        front = _fold(step.join(ex, step.callee == ex.node, "left_semi").select("caller", F.col("callee").alias("via")).join(seen, ["caller", "via"], "left_anti"))
+        front = cut(step.join(ex, step.callee == ex.node, "left_semi").select("caller", F.col("callee").alias("via")).join(seen, ["caller", "via"], "left_anti"))
         if front.isEmpty():
             break
-        seen = _fold(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
     return out.distinct()

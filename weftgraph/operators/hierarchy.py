@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.lineage import cut
+
 
 def closure(type_edges: DataFrame, most: int = 16) -> DataFrame:
     """(sub, sup, depth) of all strict supertypes, least depth; a loop that ends when no new pair comes, so cycles end too."""
@@ -12,7 +14,7 @@ def closure(type_edges: DataFrame, most: int = 16) -> DataFrame:
     front = seen
     for depth in range(2, most + 1):
         e = type_edges.select(F.col("sub").alias("sup"), F.col("sup").alias("next"))
-        new = front.join(e, "sup").select("sub", F.col("next").alias("sup")).distinct().join(seen, ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).persist()
+        new = cut(front.join(e, "sup").select("sub", F.col("next").alias("sup")).distinct().join(seen, ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if new.isEmpty():
             break
         seen, front = seen.unionByName(new), new
@@ -89,7 +91,7 @@ def factory_fold(returns: DataFrame, most: int = 32) -> DataFrame:
             via = returns.where("kind = 'M'").select("method", F.col("value").alias("to")).join(known.select(F.col("method").alias("to"), "value"), "to")
             rows = rows.unionByName(via.select("method", "value"))
         agreed = rows.groupBy("method").agg(F.count("*").alias("c"), F.min("value").alias("value"), F.max("value").alias("most")).join(total, "method")
-        known = agreed.where("c = n AND value = most").select("method", "value").persist()
+        known = cut(agreed.where("c = n AND value = most").select("method", "value"))
         now = known.count()
         if now == count:
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.lineage import cut
+
 
 def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): ADDED, REMOVED, CHANGED or SAME of files (path, size, hash)."""
@@ -15,14 +17,14 @@ def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def stale_closure(changed: DataFrame, deps: DataFrame, most: int = 100) -> DataFrame:
     """(path, round): files stale by change (round 0) or because they depend (path, dep) on one that is; ends when none is new."""
-    seen = changed.select("path").distinct().withColumn("round", F.lit(0).cast("long"))
+    seen = cut(changed.select("path").distinct().withColumn("round", F.lit(0).cast("long")))
     front = seen
     for k in range(1, most + 1):
         hit = deps.join(front.select(F.col("path").alias("dep")), "dep").select("path").distinct()
-        front = hit.join(seen, "path", "left_anti").withColumn("round", F.lit(k).cast("long")).persist()
+        front = cut(hit.join(seen, "path", "left_anti").withColumn("round", F.lit(k).cast("long")))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).persist()
+        seen = cut(seen.unionByName(front))
     return seen
 
 
