@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import materialise, mix, pack, shuffle_partitions, text_slices, unpack, window_hashes, word_hashes, word_spans
 
-BLOCK_WINDOWS = 4 << 20
+BLOCK_WINDOWS = 1 << 20
 #: Removal intervals of up to so many packed bytes are broadcast to the texts; beyond that both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -114,18 +114,21 @@ def _flagged(n_parts: int):
     schema = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("ids", "prints", "counts", "places"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, hits = [], []
+        by_bucket: dict[int, list[dict]] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                by_bucket.setdefault(row["bucket"], []).append(row)
+        hits = []
+        for bucket in list(by_bucket):  # one at a time: the rest stays packed
+            got = []
+            for row in by_bucket.pop(bucket):
                 counts = unpack(row["counts"])
                 ids, prints = (np.repeat(x, counts) for x in (unpack(row["ids"]), np.frombuffer(row["prints"], np.uint32)))
-                if row["bucket"] < 0:
-                    hits.append((ids, prints, unpack(row["places"])))
-                else:
-                    got.append((ids, prints, unpack(row["places"]), np.frombuffer(row["hashes"], np.uint64)))
-        if got:
+                got.append((ids, prints, unpack(row["places"]), np.frombuffer(row["hashes"], np.uint64)))
+            if bucket < 0:
+                hits += [x[:3] for x in got]
+                continue
             ids, prints, place, hashes = (np.concatenate(x) for x in zip(*got, strict=True))
-            got.clear()
             order = np.lexsort((ids, hashes))
             starts = _runs(hashes[order])
             least = np.repeat(ids[order[starts]], np.diff(np.append(starts, len(order))))
