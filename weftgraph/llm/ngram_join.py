@@ -4,7 +4,7 @@
 2. Two sets that link share a token among the first n - ceil(t * n) + 1 of each, in any one order of all tokens. Those prefixes go
    to hash buckets; tokens of a single class end there. The order puts hashes of rare tokens first: tokens that a share HEAVY of a
    task's texts hold come last, so a line that many unrelated texts hold joins nothing. The order matters for speed only.
-3. For every token left, a signature tree over its classes gives a spanning forest of the pairs whose bitmaps allow a link: edges
+3. For every set of classes that some token leaves, a signature tree over them gives a spanning forest of the pairs whose bitmaps allow a link: edges
    grow with the members, not with their pairs. Members of a token beyond GROUP are dealt out as pairs of chunks.
 4. Within each component of those edges the texts meet once, and a signature tree with exact counts at its leaves gives the links.
    Components beyond BLOCK_TOKENS are dealt out as pairs of chunks.
@@ -125,7 +125,8 @@ def _prefixes(k: int, num: int, den: int, heavy: np.ndarray, n_buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All prefix tokens of some buckets -> (token, class, chunks of the token) for tokens of two or more classes."""
+    """All prefix tokens of some buckets -> (mark, slice, chunks, prints): the classes of each token that has two or more, GROUP of
+    them a row. Tokens of the very same classes have the same mark."""
     got = [(np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["prints"], np.int64)) for b in batches for r in b.to_pylist()]
     if not got:
         return
@@ -136,19 +137,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.ones(len(tokens), bool)
     first[1:] = (tokens[1:] != tokens[:-1]) | (prints[1:] != prints[:-1])
     tokens, prints = tokens[first], prints[first]
-    at = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])), len(tokens))
-    k = np.repeat(np.diff(at), np.diff(at))
-    keep = k > 1
-    # tokens that have the very same classes give the same forest: one of them is enough
-    marks = np.add.reduceat(mix(prints.view(np.uint64)), at[:-1])
+    at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    k = np.diff(np.append(at, len(tokens)))
+    marks = mix(np.add.reduceat(mix(prints.view(np.uint64)), at) + k.astype(np.uint64)).view(np.int64)
     _, one = np.unique(marks, return_index=True)
-    only = np.zeros(len(at) - 1, bool)
-    only[one] = True
-    keep &= np.repeat(only, np.diff(at))
-    tokens, prints, k = tokens[keep].view(np.int64), prints[keep], k[keep]
-    for i in range(0, len(tokens), 1 << 16):
-        j = i + (1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[i:j]), pa.array(prints[i:j]), pa.array((-(-k[i:j] // GROUP)).astype(np.int32))], names=["token", "print", "chunks"])
+    one = one[k[one] > 1]
+    rows, n = [], 0
+    for mark, a, m in zip(marks[one].tolist(), at[one].tolist(), k[one].tolist(), strict=True):
+        for s in range(0, m, GROUP):
+            rows.append((mark, s // GROUP, -(-m // GROUP), prints[a + s : a + min(m, s + GROUP)]))
+            n += len(rows[-1][3])
+        if n > 1 << 18:
+            yield _groups(rows)
+            rows, n = [], 0
+    if rows:
+        yield _groups(rows)
+
+
+def _groups(rows: list) -> pa.RecordBatch:
+    mark, part, chunks, prints = zip(*rows, strict=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prints])), pa.int32()), pa.array(np.concatenate(prints)))
+    return pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(part, pa.int32()), pa.array(chunks, pa.int32()), lists], names=["mark", "slice", "chunks", "prints"])
 
 
 def _chunked(df: DataFrame, key: str) -> DataFrame:
@@ -195,26 +204,21 @@ def _edge_batch(edges: list) -> pa.RecordBatch:
 
 
 def _candidates(num: int, den: int):
-    """Rows (token, x, y, print, n, bits, own, chunks), sorted -> edges of classes that may link."""
+    """Rows (mark, x, y, print, n, bits, own), sorted -> edges of classes that may link."""
 
     def run(batches):
         seen: set = set()
-        done: set = set()
         out: list = []
         for t in _by_key(batches, 3):
             prints, sizes = t.column(3).to_numpy(), t.column(4).to_numpy()
-            mark = hash(prints.tobytes())
-            if len(prints) < 2 or mark in done:
+            if len(prints) < 2:
                 continue
-            done.add(mark)
             bits = [np.frombuffer(x, np.uint64) for x in t.column(5).to_pylist()]
             x, y = t.column(1)[0].as_py(), t.column(2)[0].as_py()
             union = Tree(sizes, bits, num, den).forest(groups=t.column(6).to_numpy() if x != y else None)
             out += _stars(seen, prints, union)
             if len(seen) > 1 << 20:
                 seen.clear()
-            if len(done) > 1 << 20:
-                done.clear()
             if len(out) > 1 << 14:
                 yield _edge_batch(out)
                 out = []
@@ -283,9 +287,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialise(classes, "classes")
 
     prefixes = some.select("text").mapInArrow(_prefixes(k, num, den, heavy, 16 * n), "bucket long, prints binary, tokens binary")
-    shared = prefixes.repartition(n, "bucket").mapInArrow(_shared, "token long, print long, chunks int")
-    rows = _chunked(shared.join(classes.select("print", "n", "bits"), "print"), "token")
-    rows = rows.select("token", "x", "y", "print", "n", "bits", "own").repartition(n, "token", "x", "y").sortWithinPartitions("token", "x", "y", "print")
+    shared = prefixes.repartition(n, "bucket").mapInArrow(_shared, "mark long, slice int, chunks int, prints array<long>")
+    shared = shared.groupBy("mark", "slice").agg(F.first("chunks").alias("chunks"), F.first("prints").alias("prints")).select("mark", "chunks", F.explode("prints").alias("print"))
+    rows = _chunked(shared.join(classes.select("print", "n", "bits"), "print"), "mark")
+    rows = rows.select("mark", "x", "y", "print", "n", "bits", "own").repartition(n, "mark", "x", "y").sortWithinPartitions("mark", "x", "y", "print")
     may = connected_components(rows.mapInArrow(_candidates(num, den), "a long, b long"), "candidates")
 
     may = may.join(classes.select(F.col("print").alias("node"), "class_id", "n"), "node")
