@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import materialise, text_slices, word_spans
 
-CHUNK = 20_000
+CHUNK = 2_000
 FAN = 64
 BROADCAST_SOURCES = 100_000
 _EDGE = 1e-9
