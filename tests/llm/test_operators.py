@@ -1,0 +1,295 @@
+"""Edge cases and brute force for the operators: nulls, empty texts, repeated rows, empty tables, extra columns of clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftgraph.llm import decontaminate as dc
+from weftgraph.llm import html_main, licenses, mixing, ngram_join, quality, queries, shared, signature_tree, substring_dedup, surrogates, token_counts, training_order
+
+DATA = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (2, ""), (3, " \t\n"), (None, "a b c d e f g h i j k l m n o p"), (4, "a b c d e f g h i j k l m n o p"), (5, "A b c d e f g h i j k l m n o p"), (6, "x " * 3000), (7, "x " * 3000), (7, "other text")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "s" if i != 3 else None, k, "0", "1") for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, print string, id string")
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_gives_what_its_sql_gives(spark, same, name):
+    same(queries.QUERIES[name](spark, DATA), queries.ORACLE_SQL[name])
+
+
+def test_word_hashes_know_words_apart():
+    b = np.frombuffer(b"ab ba ab\x0bAB abab" + b"y" * (1 << 19), np.uint8)
+    s, e, at = shared.word_spans(b, np.array([0, len(b)]))
+    h = shared.word_hashes(b, s, e)
+    assert len(h) == 5 and h[0] == h[2] and len(set(h.tolist())) == 4
+    f = shared.word_hashes(b, s, e, fold=True)
+    assert f[0] == f[2] == f[3]
+
+
+def test_pack_round_trip():
+    a = np.array([5, 5, 2**62, -3, 0])
+    assert shared.unpack(shared.pack(a)).tolist() == a.tolist() and not len(shared.unpack(shared.pack(a[:0])))
+
+
+def test_substring_dedup(odd, empty):
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(odd).collect()), key=str)
+    assert len(got) == len(ODD)
+    by = {(g[0], g[1]): g for g in got}
+    assert by[(6, 3000)][2] == 0 and by[(7, 3000)][2] == 3000 and by[(7, 2)][2] == 0
+    assert by[(-1, 16)][2] == 0 and by[(4, 16)][2] == 0 and by[(5, 16)][2] == 15  # its first word differs
+    assert by[(1, 0)][3] == "" and substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_ngram_join(odd, empty):
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.ngram_jaccard_join(odd).collect()}
+    assert got[(4, 13)] == 4 and got[(5, 13)] == 4 and got[(7, 1)] in (6, 7) and got[(1, 0)] == 1 and got[(2, 0)] == 2
+    assert ngram_join.ngram_jaccard_join(odd).count() == len(ODD) and ngram_join.ngram_jaccard_join(empty).count() == 0
+
+
+def test_ngram_join_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(3, 120))]
+        for _ in range(rng.randint(1, 6)):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = "zz" + str(rng.randint(0, 9))
+            texts.append(" ".join(t))
+    sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for w in map(str.split, texts)]
+    up = signature_tree.Union(len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                up.join(i, j)
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: up.root(i) for i in range(len(sets))}
+
+
+def test_signature_tree_loses_no_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, rng.integers(5, 900)).astype(np.uint64)
+        for _ in range(rng.integers(1, 8)):
+            keep = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])))
+
+    def links(i, j):
+        c = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * c >= 85 * (len(sets[i]) + len(sets[j]) - c)
+
+    tree = signature_tree.Tree(np.array([len(s) for s in sets]), [signature_tree.bitmap(s, signature_tree.width_of(len(s), 1)) for s in sets], 85, 100)
+    got, want = tree.forest(links), signature_tree.Union(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if links(i, j):
+                want.join(i, j)
+    assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+
+
+def test_decontaminate(spark, odd, empty, monkeypatch):
+    bench = spark.createDataFrame([(1, "c D; e f g h i j k l m n O"), (1, "c D; e f g h i j k l m n O"), (9, "Other!"), (8, None), (None, "x"), (7, "--")], "item_id long, text string")
+    want = {(4, 16): (13, [1]), (5, 16): (13, [1]), (None, 16): (13, [1]), (7, 2): (1, [9])}
+    for size in (dc.BLOCK_BYTES, 20):  # one block, several
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        rows = dc.decontaminate(odd, bench).collect()
+        assert len(rows) == len(ODD)
+        for r in rows:
+            assert (r.n_hit, r["items"]) == want.get((r.doc_id, r.n_words), (0, []))
+            assert r.contaminated == (r.n_hit > 0)
+        assert {(s.start, s.end) for r in rows if r.doc_id == 4 for s in r.spans} == {(4, 29)}
+    assert dc.decontaminate(empty, bench).count() == 0 and dc.decontaminate(odd, bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_mixing(spark, odd, empty):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(0, 60), f"s{rng.choice([0, 0, 0, 1, 2, 3])}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7)).collect()))
+    src, size = {r[0]: r[2] for r in rows}, {r[0]: len(r[1].split()) for r in rows}
+    total, sizes, taken, target = sum(size.values()), {}, {}, {}
+    for r in got:
+        assert r.size == size[r.doc_id] and 0 <= r.copies <= 3
+        s = src[r.doc_id]
+        sizes[s] = sizes.get(s, 0) + r.size
+        taken[s] = taken.get(s, 0) + r.size * r.copies
+        target[s] = r.target
+    weight, free, left, want = dict(zip(sorted(sizes), [5, 2, 1, 5])), set(sizes), total, {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            want[s] = 3 * sizes[s]
+            left -= want[s]
+        free -= over
+    want |= share
+    assert target == pytest.approx(want) and all(abs(taken[s] - want[s]) <= 60 for s in want)
+    assert mixing.mix_sources(odd).count() == len(ODD) and mixing.mix_sources(empty).count() == 0
+
+
+def test_quality_base_counts(spark, odd, empty):
+    texts = [t for _, t in ODD] + ["one two three four five one two three four five six", "l1 a\nl2\n\nl1 a\n \nl1 a", "a#b $ %% | <x> *", "é ü ß ñ a b c d e f g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = quality.quality_rules(docs, docs.select("doc_id").where("doc_id >= 4")).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        w = words(texts[r.doc_id])
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        rep = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)} if len(w) < 100 else set(range(len(w)))
+        lines = [x for x in (texts[r.doc_id] or "").split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", texts[r.doc_id] or "")))
+        assert (r.n_repeat_words, r.n_dup_lines) == (len(rep), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.quality_rules(odd, odd.where("false").select("doc_id")).count() == len(ODD) and quality.quality_rules(empty, empty.select("doc_id")).count() == 0
+
+
+def test_quality_verdict_on_labels(spark):
+    out = quality.op9_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    good = [r.kept for r in out if r.quality == 1 and not r.base_failed]
+    bad = [r.kept for r in out if r.quality == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_training_order(spark, odd, empty):
+    import base64
+
+    import tiktoken
+
+    with open(training_order.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("own", pat_str=training_order.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    for text in ["it's  two\n\n words 　x \x1c 12,3 ", "", " \n", "日本 é🙂"]:
+        assert list(training_order.array("H", training_order.token_bytes(text))) == encode(text)
+    rows = training_order.training_order(odd, length=8).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert sum(r.n_tokens for r in rows) == sum(len(encode(t or "")) + 1 for _, t in ODD) and training_order.training_order(empty).count() == 0
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 17, 1000):
+        assert sorted(training_order.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
+
+
+def test_shards_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * i) for i in range(40)], "doc_id long, text string")
+    rows = training_order.training_order(docs, length=8, shard_size=16)
+    first = training_order.write_shards(rows, str(tmp_path), 8).collect()
+    assert sum(r.n_sequences for r in first) == rows.count()
+    for r in rows.collect():
+        assert training_order.read_slot(str(tmp_path), r.slot, 8, 16) == list(training_order.array("H", r.tokens))
+    (tmp_path / "shard-000000.bin").unlink()
+    assert len(training_order.write_shards(rows, str(tmp_path), 8).collect()) == len(first) and (tmp_path / "shard-000000.bin").exists()
+
+
+def test_token_counts_against_plain_forward_scores(odd, empty):
+    scores, byte, longest = token_counts.unigram_scores()
+
+    def plain(word):
+        text, best = "▁" + word, [(0.0, 0)]
+        for d in range(1, len(text) + 1):
+            n = len(text[d - 1].encode())
+            options = [] if text[d - 1] in scores else [(best[-1][0] + n * byte, best[-1][1] + n)]
+            options += [(best[d - k][0] + scores[text[d - k : d]], best[d - k][1] + 1) for k in range(1, min(d, longest) + 1) if text[d - k : d] in scores]
+            best.append(max(options, key=lambda x: (x[0], -x[1])))
+        return best[-1][1]
+
+    trie = token_counts.Trie(scores, byte, longest)
+    for w in ["thing", "things", "thin", "th", "éè", "日本語", "x" * 300, "a"]:
+        assert trie.tokens(w) == plain(w)
+    got = {(r.doc_id, r.n_pretokens): r.n_tokens for r in token_counts.token_counts(odd).collect()}
+    assert got[(7, 2)] == plain("other") + plain("text") and got[(1, 0)] == 0 and token_counts.token_counts(empty).count() == 0
+
+
+def test_surrogates(spark, odd, empty):
+    text = "Frau Anna Weber, Frau Weber: a.b@x.org c@x.org, 4111 1111 1111 1111, 1.2.3.4, (212) 555-0100, Господин Петров"
+    docs = spark.createDataFrame([(1, text), (2, "call (212) 555-0100 now"), (2, None), (3, "no data")], "doc_id long, text string")
+    rows = surrogates.replace_pii(docs, key="k").collect()
+    got = {r.doc_id: r.text for r in rows if r.text}
+    assert len(rows) == 4 and got[3] == "no data"
+    for x in ("Weber", "a.b@x.org", "4111", "1.2.3.4", "555-0100", "Петров"):
+        assert x not in got[1] + got[2]
+    phone = re.search(r"\(\d{3}\) \d{3}-\d{4}", got[2])[0]
+    assert phone in got[1]
+    names = re.match(r"Frau (\w+) (\w+), Frau (\w+):", got[1])
+    assert names[1] in surrogates.NAMES["latin f"] and names[2] == names[3]
+    assert len(set(re.findall(r"@(\S+\.org)", got[1]))) == 1 and re.search(r"Господин [А-Я][а-я]+", got[1])
+    assert surrogates.replace_pii(odd).count() == len(ODD) and surrogates.replace_pii(empty).count() == 0
+
+
+def test_surrogates_stay_apart(spark):
+    ips = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
+    rows = surrogates.surrogate_table(spark.createDataFrame([(x,) for x in ips], "entity string"), "k").collect()
+    out = {r.entity: r.surrogate for r in rows}
+    assert len(out) == len(set(out.values())) == len(ips) and not set(ips) & set(out.values())
+
+
+def test_licenses(spark, odd, empty):
+    assert all(re.search(licenses.CUES, s) for s in licenses.SENTENCES.values())
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"). The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
+    docs = spark.createDataFrame([(1, mit + "\nAll rights reserved."), (2, "Some words.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the software")], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_sentences, r.n_unruled) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: ("MIT,Proprietary", 4, 0), 2: ("", 1, 1)}
+    assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
+
+
+def test_html_held_out():
+    rng, model, right = random.Random(77), html_main.model(), 0
+    for _ in range(100):
+        nodes = html_main.flat(html_main.parse(html_main.training_page(rng)[0]))
+        want = [n.text for n in nodes if n.tag == "#text" and n.text.startswith("M")]
+        right += html_main.decode(nodes, model.score(html_main.features(nodes))) == want
+    assert right >= 95
+
+
+def test_html_edges(spark):
+    page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Big &amp; news</h1><p>One <b>bo</b>ld line,<br>two lines here. And more words to read, in full.<p>Three</article><footer>&copy; me</footer>"
+    rows = [(1, "u", page), (2, None, None), (None, "u", ""), (4, "u", page[: page.index("</article")])]
+    out = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "Big & news One bold line, two lines here. And more words to read, in full. Three"
+    assert out == {1: want, 2: "", None: "", 4: want}
+
+
+def test_pipeline_keeps_columns_and_decides(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = c.quality_stage(spark, docs, DATA)
+    assert good.columns == docs.columns
+    kept = {r.doc_id for r in quality.op9_quality_rules(spark, DATA).where("kept").collect()}
+    assert {r.doc_id for r in good.select("doc_id").collect()} == kept
+    clean = c.decontamination_stage(spark, docs, DATA)
+    bad = {r.doc_id for r in dc.op3_decontaminate(spark, DATA).where("contaminated").collect()}
+    assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - bad and clean.columns == docs.columns
+    one = c.near_duplicate_stage(spark, docs, DATA)
+    groups = ngram_join.ngram_jaccard_join(docs, k=5, num=80).select("component_id").distinct().count()
+    assert one.count() == groups and one.columns == docs.columns
+    mixed = c.mixing_stage(spark, docs, DATA)
+    assert mixed.count() == mixing.mix_sources(docs).agg(F.sum("copies")).first()[0] and mixed.columns == docs.columns
+
+
+def test_kept_digest(spark):
+    r = substring_dedup.op7_substring_dedup(spark, DATA).where("n_removed = 0").first()
+    text = spark.read.parquet(f"{DATA}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text
+    assert r.kept_sha256 == hashlib.sha256(" ".join(words(text)).encode()).hexdigest()
