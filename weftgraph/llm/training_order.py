@@ -30,7 +30,8 @@ LENGTH = 512
 SHARD = 1 << 14
 BUCKETS = 1024
 BROADCAST_BYTES = 32 << 20
-CACHE = 400_000
+#: Units whose ids a Python worker keeps; some 200 bytes each.
+CACHE = 1 << 15
 #: How the byte-level vocabulary's pre-tokens are parted.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A unit is a run of white space and the run of other characters after it. No pre-token crosses from the latter to the former, so
@@ -83,9 +84,10 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker that earlier stages used may hold theirs
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 ids = [token_bytes(t.as_py() or "", path) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "print", "n_tokens", "ids"])
 
