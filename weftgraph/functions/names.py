@@ -89,3 +89,23 @@ def glob_regex(pattern: str) -> str | None:
 def glob_match(name: Column, pattern: str) -> Column:
     rx = glob_regex(pattern)
     return F.lit(False) if rx is None else name.rlike(rx)
+
+
+def prefixes(name: Column) -> Column:
+    """All dotted prefixes of a name, the name itself last."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+
+
+def location(type_name: Column, method: Column, path: Column, line: Column) -> Column:
+    """A stack trace's line; a lambda body counts as the method around it, a null path as an unknown source."""
+    name = F.regexp_replace(method, r"^lambda\$(.+)\$[0-9]+$", "$1")
+    where = F.coalesce(F.concat(F.substring_index(path, "/", -1), F.lit(":"), line.cast("string")), F.lit("Unknown Source"))
+    return F.concat(F.lit("at "), type_name, F.lit("."), name, F.lit("("), where, F.lit(")"))
+
+
+def expectation(op: Column, values: Column) -> Column:
+    """What a guard's op asks of its subject, as text."""
+    listed = F.concat(F.lit("{"), F.array_join(values, ", "), F.lit("}"))
+    first = F.get(values, F.lit(0))
+    return F.when(op == "EQ", F.concat(F.lit("= "), first)).when(op == "NE", F.concat(F.lit("≠ "), first)).when(op == "IN", F.concat(F.lit("∈ "), listed)).when(op == "NI", F.concat(F.lit("∉ "), listed))

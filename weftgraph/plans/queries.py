@@ -376,14 +376,6 @@ def test_source_filter(spark, d):
     return table(spark, d, "documents").where(~names.is_test_path(path)).select("doc_id")
 
 
-@query("enclosing_method", "WITH r AS (SELECT 'N' || (p_partkey % 25) AS file, p_partkey AS method, p_size * 4 AS lo, p_size * 4 + p_partkey % 60 AS hi FROM part WHERE p_partkey <= 200), q AS (SELECT DISTINCT 'N' || (o_custkey % 25) AS file, o_orderkey % 200 AS line FROM orders) SELECT q.file, q.line, arg_min(method, (hi - lo) * 1000000 + method) AS method FROM q JOIN r ON r.file = q.file AND line BETWEEN lo AND hi GROUP BY q.file, q.line")
-def enclosing_method(spark, d):
-    r = table(spark, d, "part").where("p_partkey <= 200").select(F.expr("'N' || (p_partkey % 25) AS file"), F.col("p_partkey").alias("method"), F.expr("p_size * 4 AS lo"), F.expr("p_size * 4 + p_partkey % 60 AS hi"))
-    q = ad.call_sites(spark, d).select(F.col("decl_type").alias("file"), "line").distinct()
-    j = q.join(r, "file").where("line BETWEEN lo AND hi")
-    return j.groupBy("file", "line").agg(F.min_by("method", F.struct(F.expr("hi - lo"), F.col("method"))).alias("method"))
-
-
 @query("find_loose", f"WITH {DECLS_SQL}, g AS (SELECT sig, count(*) AS n, min(type) AS type FROM md WHERE has_body GROUP BY sig, type[1:2]) SELECT sig, type, n FROM g WHERE n = 1")
 def find_loose(spark, d):
     g = ad.method_decls(spark, d).where("has_body").groupBy("sig", F.substring("type", 1, 2).alias("k")).agg(F.count("*").alias("n"), F.min("type").alias("type"))
@@ -405,9 +397,9 @@ def conditions_inventory(spark, d):
 # --- facts and maintenance ----------------------------------------------------------------------------------------------------------
 
 
-@query("symbol_join_badrefs", "SELECT o_orderkey AS edge_id, c_name AS caller, c_custkey IS NULL AS bad FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 13 <> 0")
+@query("symbol_join_badrefs", "SELECT o_orderkey AS edge_id, c_name AS caller, c_custkey IS NULL AS bad FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")
 def symbol_join_badrefs(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 13 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("caller"), F.lit(True).alias("found"))
+    c = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("caller"), F.lit(True).alias("found"))
     return table(spark, d, "orders").join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("edge_id"), "caller", F.col("found").isNull().alias("bad"))
 
 
@@ -422,9 +414,9 @@ def duplicate_types(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query("unresolved_list", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE doc_id % 6 = 0 GROUP BY source, lang")
+@query("unresolved_list", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE lang <> 'en' GROUP BY source, lang")
 def unresolved_list(spark, d):
-    return table(spark, d, "documents").where("doc_id % 6 = 0").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"))
+    return table(spark, d, "documents").where("lang <> 'en'").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"))
 
 
 def _files(spark, d):
