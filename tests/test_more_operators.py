@@ -118,3 +118,6 @@ def test_maintenance_of_a_stream(spark, tmp_path):
         live.maintain(spark.readStream.schema(stream).parquet(str(tmp_path / "in")), root, schema, str(tmp_path / "c")).awaitTermination()
         got = sorted(map(tuple, live.current(spark, root, schema).collect()))
         assert got == [[("a", 2), ("a", 3), ("b", 1)], [("a", 2), ("a", 3), ("c", 5)]][i]
+    # a batch whose pointer is written is not applied again: the same stream from another checkpoint starts at batch 0
+    live.maintain(spark.readStream.schema(stream).parquet(str(tmp_path / "in")), root, schema, str(tmp_path / "c2")).awaitTermination()
+    assert sorted(map(tuple, live.current(spark, root, schema).collect())) == [("a", 2), ("a", 3), ("c", 5)]
