@@ -251,6 +251,8 @@ def test_licenses(spark, odd, empty):
     docs = spark.createDataFrame([(1, mit + "\nAll rights reserved."), (2, "Some words.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the software")], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.n_sentences, r.n_unruled) for r in licenses.license_scan(docs).collect()}
     assert got == {1: ("MIT,Proprietary", 4, 0), 2: ("", 1, 1)}
+    own = licenses.license_scan(docs, sentences={"words": "some words"}, rules=[("Own", ["words"])]).collect()
+    assert {r.doc_id: r.licenses for r in own} == {1: "", 2: "Own"}
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
 
 

@@ -6,6 +6,8 @@ matched against ordered rules: earlier rules take their identifiers first, what
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
-#: Each known sentence has one of these, so others need no normalising.
+#: Each sentence above has one of these, so others need no normalising. With a sentence that has none, all are normalised.
 CUES = "licen|copy|permi|warrant|redistribut|domain|rights"
 
 
@@ -75,7 +77,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
     out = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     out = out.withColumn("_parts", F.split(F.regexp_replace("_text", r"([.!?;])[ \t\r\n]+", "$1\n"), "\n"))
-    out = out.withColumn("_cued", F.filter("_parts", lambda s: F.lower(s).rlike(CUES)))
+    cued = F.filter("_parts", lambda s: F.lower(s).rlike(CUES)) if all(re.search(CUES, s) for s in known.values()) else F.col("_parts")
+    out = out.withColumn("_cued", cued)
     out = out.withColumn("_plain", F.transform("_cued", lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " "), F.lit(" ."))))
     out = out.withColumn("_known", F.filter("_plain", lambda s: s.isin(list(known.values()))))
     out = out.withColumn("_ids", F.transform("_known", lambda s: F.element_at(table, s)))
