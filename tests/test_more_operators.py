@@ -121,3 +121,13 @@ def test_maintenance_of_a_stream(spark, tmp_path):
     # a batch whose pointer is written is not applied again: the same stream from another checkpoint starts at batch 0
     live.maintain(spark.readStream.schema(stream).parquet(str(tmp_path / "in")), root, schema, str(tmp_path / "c2")).awaitTermination()
     assert sorted(map(tuple, live.current(spark, root, schema).collect())) == [("a", 2), ("a", 3), ("c", 5)]
+
+
+def test_unexpanded_summary_and_names(spark):
+    sites = spark.createDataFrame([(1, "a", 4), (1, "a", 4), (2, "a", 9), (3, "a", 3), (4, "b", 3), (5, "c", None)], "edge_id long, callee string, n_candidates int")
+    assert [tuple(r) for r in reports.unexpanded_summary(sites).collect()] == [("a", 9, 2)]
+    assert reports.unexpanded_summary(sites.where("false")).count() == 0
+    decls = spark.createDataFrame([(1, "T", "m", "b", 1, True), (2, "T", "m", "a", 9, True), (3, "T", "m", "a", 2, True), (4, "T", "m", "a", 1, False), (5, None, "m", "a", 1, True)], "method_id long, type string, name string, file string, line int, has_body boolean")
+    assert {r.type: r.method_ids for r in reports.methods_by_name(decls).collect()} == {"T": [3, 2, 1], None: [5]}
+    none = spark.createDataFrame([], "reachable boolean, role string")
+    assert tuple(reports.inventory_stats(none).first()) == (0,) * 7

@@ -59,3 +59,22 @@ def field_tree(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     kind = F.when(F.col("r") & F.col("w"), "readwrite").when(F.col("w"), "write").otherwise("read")
     callers = edges.select(F.col("callee").alias("accessor"), "caller").distinct()
     return both.select("field", "accessor", kind.alias("access")).join(callers, "accessor", "left").select("field", "accessor", "access", "caller")
+
+
+def unexpanded_summary(sites: DataFrame, most: int = 3) -> DataFrame:
+    """(callee, max_candidates, n_sites): the callees of calls with over `most` candidates, the most there were, and at how many calls.
+    sites: (edge_id, callee, n_candidates), a call as often as paths meet it; unknown counts are not over the limit."""
+    return sites.where(F.col("n_candidates") > most).groupBy("callee").agg(F.max("n_candidates").alias("max_candidates"), F.countDistinct("edge_id").alias("n_sites"))
+
+
+def methods_by_name(decls: DataFrame) -> DataFrame:
+    """(type, name, method_ids array): the methods with a body of each type and name, by file, then line, then id.
+    decls: (method_id, type, name, file, line, has_body)."""
+    of = decls.where("has_body").groupBy("type", "name").agg(F.array_sort(F.collect_list(F.struct("file", "line", "method_id"))).alias("m"))
+    return of.select("type", "name", F.transform("m", lambda x: x["method_id"]).alias("method_ids"))
+
+
+def inventory_stats(inventory: DataFrame) -> DataFrame:
+    """One row: how many methods there are, are reached and have each role; zeros if there are none. inventory: of methods_inventory."""
+    roles = ("FRAMEWORK_ENTRY", "ENTRY_CANDIDATE", "ISOLATED", "LEAF", "NORMAL")
+    return inventory.agg(F.count("*").alias("n_methods"), F.count_if("reachable").alias("n_reachable"), *[F.count_if(F.col("role") == r).alias(f"n_{r.lower()}") for r in roles])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import names
 from weftgraph.operators import dependencies, dispatch, graph, hierarchy, ranges, reports
-from weftgraph.plans.queries import _BODY_SQL, _DEG_SQL, _KIND_SQL, _NODES_SQL, _PKG_SQL, QUERIES, _nodes, _packages, query
+from weftgraph.plans.queries import _BODY_SQL, _DEG_SQL, _KIND_SQL, _NODES_SQL, _PKG_SQL, QUERIES, SQL, _nodes, _packages, query
 from weftgraph.sources import adapters as ad
 from weftgraph.sources.adapters import CLOSURE_SQL, DECLS_SQL, EDGES_SQL, SITES_SQL, table
 
@@ -199,3 +199,20 @@ def dependency_highest(spark, d):
 # Mediation keeps what earlier levels chose, which SQL's recursion can't: tests hold it against small cases and a walk in Python.
 QUERIES["dependency_nearest"] = dependency_nearest
 QUERIES["dependency_highest"] = dependency_highest
+
+
+@query("unexpanded_summary", "SELECT l_suppkey AS callee, max(l_linenumber) AS max_candidates, count(DISTINCT l_orderkey) AS n_sites FROM lineitem WHERE l_linenumber > 3 GROUP BY l_suppkey")
+def unexpanded_summary(spark, d):
+    return reports.unexpanded_summary(table(spark, d, "lineitem").selectExpr("l_orderkey AS edge_id", "l_suppkey AS callee", "l_linenumber AS n_candidates"))
+
+
+@query("methods_by_name", "SELECT p_brand AS type, 'm' || p_size AS name, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_type, p_partkey % 100, p_partkey) AS method_ids FROM part WHERE p_partkey % 4 <> 0 GROUP BY p_brand, p_size")
+def methods_by_name(spark, d):
+    decls = table(spark, d, "part").selectExpr("p_partkey AS method_id", "p_brand AS type", "'m' || p_size AS name", "p_type AS file", "p_partkey % 100 AS line", "p_partkey % 4 <> 0 AS has_body")
+    return reports.methods_by_name(decls).withColumn("method_ids", F.array_join("method_ids", ","))
+
+
+@query("inventory_stats", f"""SELECT count(*) AS n_methods, count(*) FILTER (reachable) AS n_reachable, count(*) FILTER (role = 'FRAMEWORK_ENTRY') AS n_framework_entry, count(*) FILTER (role = 'ENTRY_CANDIDATE') AS n_entry_candidate,
+count(*) FILTER (role = 'ISOLATED') AS n_isolated, count(*) FILTER (role = 'LEAF') AS n_leaf, count(*) FILTER (role = 'NORMAL') AS n_normal FROM ({SQL['methods_inventory']}) AS i""")
+def inventory_stats(spark, d):
+    return reports.inventory_stats(methods_inventory(spark, d))
