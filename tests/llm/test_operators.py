@@ -245,6 +245,22 @@ def test_surrogates_stay_apart(spark):
     assert len(out) == len(set(out.values())) == len(ips) and not set(ips) & set(out.values())
 
 
+def test_surrogates_of_secrets(spark):
+    cases = {
+        'token = "abcd1234efgh"': "abcd1234efgh", 'TOKEN = "0A1B2C3D4E5F60718293"': "0A1B2C3D4E5F60718293", "Password: Hunter22!": "Hunter22", 'password = "correct horse battery"': "horse",
+        "password='qwerty77'": "qwerty77", 'api_key = "zyxw9876vuts"': "zyxw9876vuts", "SECRET_KEY=s3cr3tvalue": "s3cr3tvalue", '{"db_password": "swordfish"}': "swordfish", "access-token:  tkn55tkn55": "tkn55tkn55",
+        "key: id_rsa_2048_abc": "id_rsa_2048_abc", "secret = 'mellon99'": "mellon99",
+    }
+    plain = ["the key: reading with care", "key = getValue", "token: https://x.org/page1", "a password is needed", "no secrets here"]
+    rows = surrogates.replace_pii(spark.createDataFrame(list(enumerate([*cases, *plain])), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    for i, (text, value) in enumerate(cases.items()):
+        assert got[i].n_entities == 1 and value not in got[i].text and len(got[i].text) == len(text), text
+        assert got[i].text.split(value.split()[0])[0][:3] == text[:3]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{20}"', got[1].text)
+    assert [got[len(cases) + i].text for i in range(len(plain))] == plain
+
+
 def test_licenses(spark, odd, empty):
     assert all(re.search(licenses.CUES, s) for s in licenses.SENTENCES.values())
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"). The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."

@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import materialise
 
+#: A word that names a secret, = or :, and the value in quotes or not. Password and the like give away any value of six characters;
+#: a bare token or key only quoted ones or runs of eight with a digit, as prose and code use these words too.
+_SAYS = r"[\"']?[ \t]*(?::=|=>|[=:])[ \t]*"
+SECRET = (
+    r"\bAKIA[0-9A-Z]{16}\b"
+    r"|(?i:password|passwd|passphrase|(?<![A-Za-z0-9])(?:pwd|secret|(?:api|secret|access|private|auth)[_-]?(?:key|token)))" + _SAYS + r"(?:\"[^\"\r\n]{6,}\"|'[^'\r\n]{6,}'|[\"']?[^\s\"']{6,})"
+    r"|(?i:(?<![A-Za-z0-9])(?:token|key))" + _SAYS + r"(?:\"[^\"\s]{8,}\"|'[^'\s]{8,}'|(?=[^\s\"']*[0-9])[A-Za-z0-9_.~+/=-]{8,}+(?!@))"
+)
+
 #: Type -> Java regular expression, in order of preference. Groups don't capture.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|secret|api_key) ?[=:] ?[^\s\"']{6,}|\b(?:token|key|secret) = \"[^\"\s]{8,}\"",
+    "secret": SECRET,
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "card": r"\b\d{4}(?:[ -]?\d{4}){3}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -61,13 +70,13 @@ def _pick(options: list[str], n: Column) -> Column:
 def _like(text: Column, digest: Column) -> Column:
     """`text` with digits as digits and ASCII letters as letters of their case; hex words stay hex; first digits other than 0 stay so."""
     chars = F.split(text, "")
-    hexes = text.rlike("^[0-9a-f]{16,}\"?$")
+    hexes = text.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})[\"']?$")
 
     def one(c: Column, i: Column) -> Column:
         n = _number(digest, i)
         digit = F.when((i == 0) & (c != "0"), 1 + n % 9).otherwise(n % 10).cast("string")
         lower = F.when(hexes, F.substring(F.lit("abcdef"), n % 6 + 1, F.lit(1))).otherwise(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1)))
-        upper = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n % 26 + 1, F.lit(1))
+        upper = F.when(hexes, F.substring(F.lit("ABCDEF"), n % 6 + 1, F.lit(1))).otherwise(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n % 26 + 1, F.lit(1)))
         return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), upper).otherwise(c)
 
     return F.array_join(F.transform(chars, one), "")
@@ -102,7 +111,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         return F.when(size == 1, 1 + n % 9).when(size == 2, 10 + n % 90).otherwise(100 + n % 155).cast("string")
 
     ip = F.array_join(F.transform(F.split(entity, r"\."), octet), ".")
-    head = F.regexp_extract(entity, r"^(AKIA|[A-Za-z_]+ ?[=:] ?\"?)", 1)
+    head = F.regexp_extract(entity, r"^(AKIA|[^=:]+(?::=|=>|[=:])[ \t]*[\"']?)", 1)
     secret = F.concat(head, _like(F.substring(entity, F.length(head) + 1, F.length(entity)), own))
     iban = F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.length(entity)), own))
     country = F.regexp_extract(entity, r"^(\+\d{1,3})[ .(-]", 1)
