@@ -245,6 +245,25 @@ def test_surrogates_stay_apart(spark):
     assert len(out) == len(set(out.values())) == len(ips) and not set(ips) & set(out.values())
 
 
+def test_surrogates_of_one_entity_in_two_formats(spark):
+    pairs = [
+        ("4111 1111 1111 1111", "4111111111111111"), ("+49 30 12345", "+49.30.12345"), ("(212) 555-0100", "212-555-0100"), ("Ann.Bee@X.org", "ann.bee@x.org"),
+        ("DE44 5001 0517 5407 3249", "DE44500105175407324" + "9"), ("Mr. Smith", "Mr Smith"), ('token = "abcd1234efgh"', "TOKEN: abcd1234efgh"),
+    ]
+    other = ["4111-1111-1111-1112", "+49 30 12346", "a.bee@x.org", "+4 930 12345"]
+    rows = surrogates.surrogate_table(spark.createDataFrame([(x,) for p in pairs for x in p] + [(x,) for x in other], "entity string"), "k").collect()
+    out = {r.entity: r.surrogate for r in rows}
+
+    def bare(x):
+        return re.sub(r"[^a-z0-9@]", "", x.split('= "')[-1].split("TOKEN: ")[-1].lower())
+
+    for a, b in pairs:
+        assert bare(out[a]) == bare(out[b]) != bare(a) and (len(out[a]) == len(a) and len(out[b]) == len(b) or a.startswith("Mr")), (a, b)
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", out["4111 1111 1111 1111"]) and re.fullmatch(r"[A-Z][a-z]+\.[A-Z][a-z]+@[A-Z]\.org", out["Ann.Bee@X.org"])
+    assert out["+49 30 12345"].startswith("+49 ") and out["Mr. Smith"].startswith("Mr. ") and out['token = "abcd1234efgh"'].endswith('"')
+    assert len({bare(x) for x in out.values()}) == len(pairs) + len(other)
+
+
 def test_surrogates_of_secrets(spark):
     cases = {
         'token = "abcd1234efgh"': "abcd1234efgh", 'TOKEN = "0A1B2C3D4E5F60718293"': "0A1B2C3D4E5F60718293", "Password: Hunter22!": "Hunter22", 'password = "correct horse battery"': "horse",

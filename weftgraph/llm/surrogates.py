@@ -1,8 +1,9 @@
 """PII surrogates, in DataFrame functions only: detected entities get keyed replacements of their own type, gender, script and format.
 
-An entity's replacement follows from a keyed digest of its type and canonical form, so it is the same wherever the entity stands.
+An entity's replacement follows from a keyed digest of its type and canonical form, so it is the same wherever the entity stands,
+in the format of each place.
 Digits become digits and letters letters of their case and script; names come from lists by gender and script. Replacements are then
-checked over the whole corpus: where two entities would share one, or one is itself an entity of the corpus, all but the first by
+checked over the whole corpus: where two forms would share one, or one is itself an entity of the corpus, all but the first by
 digest are drawn again.
 """
 
@@ -92,18 +93,65 @@ def _digest(key: str, *of: Column) -> Column:
     return F.concat(*[F.sha2(F.concat_ws("|", F.lit(f"{key} {k}"), *of), 256) for k in range(4)])
 
 
+#: What stands before the value of a secret, and the country code of a phone number.
+_HEAD = r"^(AKIA|[^=:]+(?::=|=>|[=:])[ \t]*[\"']?)"
+_COUNTRY = r"^(\+\d{1,3})[ .(-]"
+
+
+def _after(text: Column, head: Column) -> Column:
+    return F.substring(text, F.length(head) + 1, F.length(text))
+
+
+def canonical(kind: Column, entity: Column) -> Column:
+    """The form that all spellings of an entity share: mailboxes in lower case, numbers without separators (a country code stays
+    apart), IBANs without spaces, the bare value of a secret, names without the title's dot."""
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    country = F.regexp_extract(entity, _COUNTRY, 1)
+    phone = F.concat(country, F.lit(" "), F.regexp_replace(_after(entity, country), "[^0-9]", ""))
+    head = F.regexp_extract(entity, _HEAD, 1)
+    secret = F.when(head == "AKIA", entity).otherwise(F.regexp_replace(_after(entity, head), "[\"']$", ""))
+    out = F.regexp_replace(entity, r"^(\S+?)\.? ", "$1 ")
+    for label, value in (("email", F.lower(entity)), ("secret", secret), ("iban", F.replace(entity, F.lit(" "), F.lit(""))), ("card", digits), ("ssn", digits), ("phone", phone), ("ip", entity)):
+        out = F.when(kind == label, value).otherwise(out)
+    return out
+
+
+def _fill(text: Column, drawn: Column) -> Column:
+    """`text` with its ASCII letters and digits replaced by the characters of `drawn` in turn."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def one(a: Column, c: Column) -> Column:
+        own = c.rlike("[0-9A-Za-z]")
+        return F.struct(F.concat(a["out"], F.when(own, F.substring(drawn, a["at"], F.lit(1))).otherwise(c)).alias("out"), (a["at"] + own.cast("int")).alias("at"))
+
+    return F.aggregate(F.split(text, ""), start, one, lambda a: a["out"])
+
+
+def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
+    """The replacement `drawn` of the canonical form, in the format of the entity."""
+    email = F.array_join(F.zip_with(F.split(entity, ""), F.split(drawn, ""), lambda c, x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x)), "")
+    head = F.regexp_extract(entity, _HEAD, 1)
+    secret = F.when(head == "AKIA", drawn).otherwise(F.concat(head, drawn, F.regexp_extract(_after(entity, head), "([\"']?)$", 1)))
+    country = F.regexp_extract(entity, _COUNTRY, 1)
+    phone = F.concat(country, _fill(_after(entity, country), _after(drawn, F.concat(country, F.lit(" ")))))
+    title = F.substring_index(entity, " ", 1)
+    out = F.concat(title, _after(drawn, F.regexp_replace(title, r"\.$", "")))
+    for label, value in (("email", email), ("secret", secret), ("iban", _fill(entity, drawn)), ("card", _fill(entity, drawn)), ("ssn", _fill(entity, drawn)), ("phone", phone), ("ip", drawn)):
+        out = F.when(kind == label, value).otherwise(out)
+    return out
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The replacement that an entity gets at an attempt (0, 1, ...)."""
+    """The replacement, canonical too, that an entity in canonical form gets at an attempt (0, 1, ...)."""
     step = attempt.cast("string")
     own = _digest(key, kind, entity, step)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.substring_index(domain, ".", -1)
     # the domain depends on itself alone, so those who share one still do
-    email = F.concat(_like(local, own), F.lit("@"), _like(host, _digest(key, F.lit("domain"), F.lower(domain))), F.lit("."), top)
-    plain = F.regexp_replace(entity, "[^0-9]", "")
+    email = F.concat(_like(local, own), F.lit("@"), _like(host, _digest(key, F.lit("domain"), domain)), F.lit("."), top)
     drawn = _like(entity, own)
-    base = F.concat(F.substring(F.regexp_replace(drawn, "[^0-9]", ""), F.lit(1), F.length(plain) - 1), F.lit("0"))
-    check = F.when(_luhn(plain) % 10 == 0, ((10 - _luhn(base) % 10) % 10).cast("string")).otherwise(F.substring(drawn, -1, 1))
+    base = F.concat(F.substring(drawn, F.lit(1), F.length(entity) - 1), F.lit("0"))
+    check = F.when(_luhn(entity) % 10 == 0, ((10 - _luhn(base) % 10) % 10).cast("string")).otherwise(F.substring(drawn, -1, 1))
     card = F.concat(F.substring(drawn, F.lit(1), F.length(entity) - 1), check)
 
     def octet(part: Column, i: Column) -> Column:
@@ -111,15 +159,14 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         return F.when(size == 1, 1 + n % 9).when(size == 2, 10 + n % 90).otherwise(100 + n % 155).cast("string")
 
     ip = F.array_join(F.transform(F.split(entity, r"\."), octet), ".")
-    head = F.regexp_extract(entity, r"^(AKIA|[^=:]+(?::=|=>|[=:])[ \t]*[\"']?)", 1)
-    secret = F.concat(head, _like(F.substring(entity, F.length(head) + 1, F.length(entity)), own))
+    secret = F.when(entity.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), _like(F.substring(entity, F.lit(5), F.length(entity)), own))).otherwise(drawn)
     iban = F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.length(entity)), own))
-    country = F.regexp_extract(entity, r"^(\+\d{1,3})[ .(-]", 1)
-    phone = F.concat(country, _like(F.substring(entity, F.length(country) + 1, F.length(entity)), own))
+    head = F.concat(F.regexp_extract(entity, r"^(\+\d{1,3}) ", 1), F.lit(" "))
+    phone = F.concat(head, _like(_after(entity, head), own))
     title = F.substring_index(entity, " ", 1)
     words = F.split(entity, " ")
     script = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    female = F.regexp_replace(title, r"\.", "").isin(FEMALE)
+    female = title.isin(FEMALE)
     # a family name depends on itself and the attempt, a given name on itself: "Frau Weber" and "Frau Anna Weber" go on sharing theirs
     by_family = _digest(key, F.lit("family"), F.element_at(words, -1), step)
     syllables = F.when(script == "cyrillic", F.array(*map(F.lit, SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, SYLLABLES["latin"])))
@@ -134,35 +181,41 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (entity): no two share a surrogate, and none is an entity of the corpus.
+    """(kind, entity, surrogate) for distinct (entity): spellings of one canonical form share a surrogate, each in its own format; no
+    two forms of a kind share one, and none is an entity of the corpus.
 
-    Entities that clash are drawn again until none do; each round is written to the shared folder. An address of few forms (an IP of
+    Forms that clash are drawn again until none do; each round is written to the shared folder. An address of few forms (an IP of
     one-digit parts, say) could run out: after 40 rounds its rows get a numbered tail instead, which keeps them distinct.
     """
-    real = materialise(entities.select("entity", entity_type(F.col("entity")).alias("kind")), "entities")
-    now = materialise(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)), "surrogates")
+    kind = entity_type(F.col("entity"))
+    every = materialise(entities.select("entity", kind.alias("kind")).withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "entities")
+    real = every.select("kind", "canon").distinct()
+    draw = surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)
+    now = materialise(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw).withColumn("tail", F.lit("")), "surrogates")
+    real = now.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("taken"))
     for rounds in range(1, 42):
         # two windows of small groups: those of one surrogate
-        taken = now.join(real.select(F.col("entity").alias("surrogate"), F.lit(True).alias("taken")), "surrogate", "left")
-        order = Window.partitionBy("surrogate").orderBy("attempt", F.sha2(F.concat(F.lit(key), F.col("entity")), 256))
-        bad = (F.col("taken").isNotNull()) | (F.row_number().over(order) > 1)
+        taken = now.join(real, ["kind", "surrogate"], "left")
+        order = Window.partitionBy("kind", "surrogate", "tail").orderBy("attempt", F.sha2(F.concat(F.lit(key), F.col("canon")), 256))
+        bad = (F.col("taken").isNotNull() & (F.col("tail") == "")) | (F.row_number().over(order) > 1)
         judged = materialise(taken.withColumn("bad", bad).drop("taken"), "judged")
         if judged.where("bad").isEmpty():
-            return judged.select("kind", "entity", "surrogate")
+            now = judged
+            break
         again = F.when(F.col("bad"), rounds).otherwise(F.col("attempt"))
-        judged = judged.withColumn("attempt", again)
-        drawn = surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)
+        judged = judged.withColumn("attempt", again).withColumn("surrogate", F.when(F.col("bad"), draw).otherwise(F.col("surrogate")))
         if rounds > 40:
-            drawn = F.concat(drawn, F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), F.col("entity")), 256), 1, 16))
-        now = judged.withColumn("surrogate", F.when(F.col("bad"), drawn).otherwise(F.col("surrogate"))).drop("bad")
-        now = materialise(now.select("kind", "entity", "attempt", "surrogate"), "surrogates")
-    return now.select("kind", "entity", "surrogate")
+            tail = F.concat(F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), F.col("canon")), 256), 1, 16))
+            judged = judged.withColumn("tail", F.when(F.col("bad"), tail).otherwise(F.col("tail")))
+        now = materialise(judged.select("kind", "canon", "attempt", "surrogate", "tail"), "surrogates")
+    met = every.join(now.select("kind", "canon", "surrogate", "tail"), ["kind", "canon"])
+    return materialise(met.select("kind", "entity", F.concat(rendered(F.col("kind"), F.col("entity"), F.col("surrogate")), F.col("tail")).alias("surrogate")), "table")
 
 
 def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "surrogate key") -> DataFrame:
     """(id_col, text_col, n_entities): the texts with every detected entity replaced, and how many there were.
 
-    - Equal entities get equal surrogates in all texts, different ones different; what is not an entity stays as it is.
+    - Entities of one canonical form get one surrogate in all texts, different ones different; what is not an entity stays as it is.
     - A null text stays null, with 0 entities; an empty one stays empty. Texts are searched whole.
     - Null and repeated ids and rows are kept, each row by itself. Columns other than the two named don't matter. No rows give none.
     """
