@@ -291,6 +291,79 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licenses_of_whole_wrapped_notices(spark):
+    cases = [(MIT, "MIT", 3), (BSD.format("the copyright holder"), "BSD-3-Clause", 2), (BSD.format("Some Firm Inc."), "BSD-3-Clause", 2), (BSD.split("3.")[0], "BSD-2-Clause", 1)]
+    cases += [(APACHE, "Apache-2.0", 3), (GPL3, "GPL", 1), (GPL2, "GPL", 1), (MPL, "MPL-2.0", 1)]
+    styles = [lambda t: t, lambda t: re.sub("(?m)^", "# ", t), lambda t: "/*\n" + re.sub("(?m)^", " * ", t) + "\n */\n", lambda t: re.sub("(?m)^", ";; ", t), lambda t: re.sub("(?m)^", "dnl ", t), lambda t: t.replace("\n", "\r\n")]
+    styles += [lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
+    docs = [(f(text), want, n) for text, want, n in cases for f in styles]
+    rows = licenses.license_scan(spark.createDataFrame([(i, d[0]) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.licenses, r.n_sentences, r.n_unruled) == (docs[r.doc_id][1], docs[r.doc_id][2], 0), docs[r.doc_id][0]
+    cut = licenses.license_scan(spark.createDataFrame([(1, "All rights\n\nreserved"), (2, "All rights. Reserved"), (3, "words before\nAll rights\nreserved\nand after")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in cut} == {1: "", 2: "", 3: "Proprietary"}
+    assert all(re.search(licenses.CUES, s) for s in licenses.NOTICES)
+
+
 def test_html_held_out():
     rng, model, right = random.Random(77), html_main.model(), 0
     for _ in range(100):
