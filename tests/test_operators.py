@@ -65,3 +65,9 @@ def test_update_equals_full(spark):
     new = spark.createDataFrame([("a", 1), ("b", 5), ("d", 4)], "path string, v int")
     stale = spark.createDataFrame([("b",), ("c",), ("d",)], "path string")
     assert sorted(map(tuple, maintenance.replace_blocks(old, new, stale).collect())) == sorted(map(tuple, new.collect()))
+
+
+def test_stale_closure_of_a_long_chain(spark):
+    changed = spark.createDataFrame([("p0",)], "path string")
+    deps = spark.createDataFrame([(f"p{i + 1}", f"p{i}") for i in range(105)], "path string, dep string")
+    assert {(r.path, r.round) for r in maintenance.stale_closure(changed, deps).collect()} == {(f"p{i}", i) for i in range(106)}

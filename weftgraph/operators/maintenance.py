@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full_outer").select("path", change.alias("change"))
 
 
-def stale_closure(changed: DataFrame, deps: DataFrame, most: int = 100) -> DataFrame:
+def stale_closure(changed: DataFrame, deps: DataFrame) -> DataFrame:
     """(path, round): files stale by change (round 0) or because they depend (path, dep) on one that is; ends when none is new."""
     seen = cut(changed.select("path").distinct().withColumn("round", F.lit(0).cast("long")))
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1):
         hit = deps.join(front.select(F.col("path").alias("dep")), "dep").select("path").distinct()
         front = cut(hit.join(seen, "path", "left_anti").withColumn("round", F.lit(k).cast("long")))
         if front.isEmpty():
