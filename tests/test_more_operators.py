@@ -49,6 +49,12 @@ def test_nearest_and_highest(spark):
     assert {r.artifact: r.version for r in dependencies.highest(root, edges).collect()} == {"r": "1", "a": "1", "b": "3", "c": "2", "d": "1"}
 
 
+def test_nearest_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"a{i}", "1", f"a{i + 1}", "1", 0, []) for i in range(67)], EDGES)
+    got = dependencies.nearest(spark.createDataFrame([("a0", "1", 0)], "artifact string, version string, ord long"), edges).collect()
+    assert {r.artifact: r.depth for r in got} == {f"a{i}": i for i in range(68)}
+
+
 def test_nearest_equals_a_walk(spark):
     _, edges = more._dependencies(spark, DATA)
     of = {}

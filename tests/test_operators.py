@@ -67,6 +67,14 @@ def test_update_equals_full(spark):
     assert sorted(map(tuple, maintenance.replace_blocks(old, new, stale).collect())) == sorted(map(tuple, new.collect()))
 
 
+def test_closure_and_fold_of_long_chains(spark):
+    up = hierarchy.closure(spark.createDataFrame([(f"T{i + 1}", f"T{i}") for i in range(20)], "sub string, sup string")).collect()
+    assert {(r["sub"], r["sup"]): r.depth for r in up} == {(f"T{i}", f"T{j}"): i - j for i in range(21) for j in range(i)}
+    rows = [("f0", "T", "X")] + [(f"f{i + 1}", "M", f"f{i}") for i in range(36)]
+    got = hierarchy.factory_fold(spark.createDataFrame(rows, "method string, kind string, value string")).collect()
+    assert {r.method: r.value for r in got} == {f"f{i}": "X" for i in range(37)}
+
+
 def test_stale_closure_of_a_long_chain(spark):
     changed = spark.createDataFrame([("p0",)], "path string")
     deps = spark.createDataFrame([(f"p{i + 1}", f"p{i}") for i in range(105)], "path string, dep string")

@@ -6,6 +6,8 @@ array of artifacts that are not to be followed below that edge, `*` for all.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ def in_range(version: Column, low: str | None, high: str | None, low_in: bool =
     return out
 
 
-def _walk(roots: DataFrame, edges: DataFrame, forced: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+def _walk(roots: DataFrame, edges: DataFrame, forced: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(chosen, asked): by level the first mention of each artifact, and every mention (artifact, version)."""
     front = roots.select("artifact", "version", F.lit(0).cast("long").alias("depth"), F.array("ord").alias("place"), F.array().cast("array<string>").alias("excluded"), F.array("artifact").alias("via"))
     chosen = asked = None
-    for depth in range(most + 1):
+    for depth in count():
         if forced is not None:
             front = front.join(forced.select("artifact", F.col("version").alias("forced")), "artifact", "left").withColumn("version", F.coalesce("forced", "version")).drop("forced")
         if chosen is not None:
@@ -61,18 +63,18 @@ def _walk(roots: DataFrame, edges: DataFrame, forced: DataFrame | None, most: in
     return chosen, (empty if asked is None else asked).unionByName(roots.select("artifact", "version"))
 
 
-def nearest(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def nearest(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(artifact, version, depth, via): of each artifact the version met first, by level and then in order. The walk goes on from
     chosen versions only, so cycles end. roots: (artifact, version, ord)."""
-    return _walk(roots, edges, None, most)[0].select("artifact", "version", "depth", "via")
+    return _walk(roots, edges, None)[0].select("artifact", "version", "depth", "via")
 
 
-def highest(roots: DataFrame, edges: DataFrame, most: int = 64, rounds: int = 20) -> DataFrame:
+def highest(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(artifact, version, depth, via): of each artifact the highest version that any chosen one asks for; walks again with those
     versions forced until they are stable."""
     forced, before, chosen = None, None, None
-    for _ in range(rounds):
-        chosen, asked = _walk(roots, edges, forced, most)
+    while True:
+        chosen, asked = _walk(roots, edges, forced)
         if forced is not None:
             asked = asked.unionByName(forced)
         forced = cut(asked.withColumn("k", version_key(F.col("version"))).groupBy("artifact").agg(F.max_by("version", F.struct("k", "version")).alias("version")))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.lineage import cut
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): nodes reachable from `roots` (node), roots at 0; a frontier loop that joins new nodes only."""
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = front.join(edges, front.node == edges.caller).select(F.col("callee").alias("node")).distinct()
         front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if front.isEmpty():
@@ -72,7 +74,7 @@ def roles(degree: DataFrame, framework: DataFrame) -> DataFrame:
     return known.select("node", role.when(F.col("in_degree") == 0, "ENTRY_CANDIDATE").when(F.col("out_degree") == 0, "LEAF").otherwise("NORMAL").alias("role"))
 
 
-def splice(edges: DataFrame, excluded: DataFrame, rounds: int = 1000) -> DataFrame:
+def splice(edges: DataFrame, excluded: DataFrame) -> DataFrame:
     """Edges between nodes that are not `excluded` (node), with those reached through excluded nodes only spliced in; the loop
     ends when no new excluded node is reached, so cycles of them end too."""
     ex = excluded.select("node").distinct()
@@ -81,9 +83,9 @@ def splice(edges: DataFrame, excluded: DataFrame, rounds: int = 1000) -> DataFra
     front = into.join(ex, into.caller == ex.node, "left_anti").select("caller", F.col("callee").alias("via"))
     inner = edges.join(ex, edges.caller == ex.node, "left_semi").select(F.col("caller").alias("via"), "callee")
     seen = front
-    for _ in range(rounds):
+    while True:
         step = cut(front.join(inner, "via").select("caller", "callee").distinct())
-        out = out.unionByName(step.join(ex, step.callee == ex.node, "left_anti"))
+        out = cut(out.unionByName(step.join(ex, step.callee == ex.node, "left_anti")))
         front = cut(step.join(ex, step.callee == ex.node, "left_semi").select("caller", F.col("callee").alias("via")).join(seen, ["caller", "via"], "left_anti"))
         if front.isEmpty():
             break

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.lineage import cut
 
 
-def closure(type_edges: DataFrame, most: int = 16) -> DataFrame:
+def closure(type_edges: DataFrame) -> DataFrame:
     """(sub, sup, depth) of all strict supertypes, least depth; a loop that ends when no new pair comes, so cycles end too."""
     seen = type_edges.distinct().withColumn("depth", F.lit(1).cast("long"))
     front = seen
-    for depth in range(2, most + 1):
+    for depth in count(2):
         e = type_edges.select(F.col("sub").alias("sup"), F.col("sup").alias("next"))
         new = cut(front.join(e, "sup").select("sub", F.col("next").alias("sup")).distinct().join(seen, ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if new.isEmpty():
             break
-        seen, front = seen.unionByName(new), new
+        seen, front = cut(seen.unionByName(new)), new
     return seen
 
 
@@ -78,14 +80,19 @@ def cascade(sites: DataFrame, virtual: DataFrame, rules: DataFrame) -> DataFrame
     )
 
 
-def factory_fold(returns: DataFrame, most: int = 32) -> DataFrame:
+#: Delegations that a chain of factories may have; beyond it the reference leaves them undecided too.
+HARD_CAP = 512
+
+
+def factory_fold(returns: DataFrame) -> DataFrame:
     """(method, value): methods whose every return folds to one value. returns (method, kind, value): kind T is a value, M delegates
-    to another method, others are unknown. From none decided upwards, so members of a cycle of delegates stay undecided."""
+    to another method, others are unknown. From none decided upwards, so members of a cycle of delegates stay undecided,
+    and those more than HARD_CAP delegations away from a value."""
     known = None
     direct = returns.where("kind = 'T'").select("method", "value")
     total = returns.groupBy("method").agg(F.count("*").alias("n"))
     count = -1
-    for _ in range(most):
+    for _ in range(HARD_CAP + 1):
         rows = direct
         if known is not None:
             via = returns.where("kind = 'M'").select("method", F.col("value").alias("to")).join(known.select(F.col("method").alias("to"), "value"), "to")
