@@ -399,6 +399,27 @@ def test_pipeline_keeps_columns_and_decides(spark):
     assert mixed.count() == mixing.mix_sources(docs).agg(F.sum("copies")).first()[0] and mixed.columns == docs.columns
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as c
+
+    long = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(3)]
+    rows = [(7, long[0]), (7, long[0]), (None, long[0]), (3, long[0]), (None, long[1]), (None, long[1]), (7, long[2]), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = sorted(map(tuple, c.near_duplicate_stage(spark, docs, DATA).collect()), key=str)
+    assert one == sorted([(3, long[0]), (None, long[1]), (7, long[2]), (None, ""), (None, "")], key=str)
+    spark.createDataFrame([(1, long[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = sorted(map(tuple, c.decontamination_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert clean == sorted([r for r in rows if r[1] != long[0]], key=str)
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else i // 2, f"t{i} " * rng.randint(1, 40), f"s{i % 2}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed, taken = c.mixing_stage(spark, docs, DATA).collect(), {}
+    for r in mixed:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    target = {r.source: r.target for r in mixing.mix_sources(docs.withColumn("doc_id", F.monotonically_increasing_id())).join(docs.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    assert taken == pytest.approx(target, abs=40) and any(r.doc_id is None for r in mixed)
+
+
 def test_kept_digest(spark):
     r = substring_dedup.op7_substring_dedup(spark, DATA).where("n_removed = 0").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text

@@ -30,7 +30,7 @@ def _sizes(batches):
         for _, _, b, off in text_slices(batch.column(2)):
             at = word_spans(b, off)[2]
             counts += (at[1:] - at[:-1]).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), batch.column(3)], names=["id", "source", "size", "row"])
 
 
 def source_targets(sized: DataFrame, weights: list[float], most: float) -> DataFrame:
@@ -94,12 +94,12 @@ def pivot(units: list[list], rng: random.Random) -> list | None:
     return held
 
 
-_UNIT = "id long, place int, size long, source_size long, target double, whole int, chunk long, p double, open boolean"
+_UNIT = "id long, row long, place int, size long, source_size long, target double, whole int, chunk long, p double, open boolean"
 
 
 def _round(seed: int, level: int, last: bool):
     def run(key: tuple[int, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(null=frame["id"].isna()).sort_values(["size", "null", "id", "p"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True).drop(columns="null")
+        frame = frame.assign(null=frame["id"].isna()).sort_values(["size", "null", "id", "p", "row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True).drop(columns="null")
         units = [[i, s, p] for i, (s, p) in enumerate(zip(frame["size"].tolist(), frame["p"].tolist(), strict=True))]
         rng = random.Random(f"{seed} {level} {key[0]} {key[1]}")
         held = pivot(units, rng)
@@ -114,8 +114,9 @@ def _round(seed: int, level: int, last: bool):
     return run
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: int = 7) -> DataFrame:
-    """(id_col, size, source_size, target, copies): how often the mix takes each row of `docs`.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: int = 7, row_col: str | None = None) -> DataFrame:
+    """(id_col, size, source_size, target, copies): how often the mix takes each row of `docs`. With `row_col`, a number without nulls
+    that tells rows of one id apart, that column too.
 
     Size is the number of words (runs of other than ASCII white space). See source_targets for targets. Copies of a source's rows
     are floor or ceiling of target / source_size, and its taken words are within one (small) document of the target.
@@ -124,8 +125,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - Null and repeated ids and rows are units of their own; ties in size go by id. Sources of size 0 have target 0, no copies.
     - Other columns don't matter. No rows give no rows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    sized = materialise(src.mapInArrow(_sizes, "id long, source string, size long"), "sizes")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"))
+    sized = materialise(src.mapInArrow(_sizes, "id long, source string, size long, row long"), "sizes")
     targets = materialise(source_targets(sized, list(weights), most), "targets")
     found = targets.agg(F.count("*"), F.max("n_docs")).first()
     side = targets.withColumnRenamed("source", "of")
@@ -144,7 +145,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    return out.select(F.col("id").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:
