@@ -1,47 +1,114 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts' word windows, one scan of each text.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts, one scan of each text.
 
-Texts are normalised to " w1 w2 ... " so that a window matches at word bounds only, and places map back to the original characters.
-The automaton is built once in each Python worker from the items, which are broadcast in blocks of about BLOCK_BYTES: a benchmark of
-several blocks takes as many scans, whose hits are united by document.
+The automaton reads words by their numbers, each as three symbols of few values, so that a node has few children. A window of w words
+holds one whole block of (w + 1) // 2 words that begins at a multiple of that number, so the automaton has those blocks alone: it grows
+with the words of the benchmark, not with w times their number. Where a block is found, the match is extended to both sides by the
+item's own words; what matches w words or more is hit, word by word, and no more than that. Items of fewer than w words are patterns
+as they are. Places are word places, which map back to characters of the original text.
+
+The automaton is built once in each Python worker from the items, which are broadcast; it takes some 35 bytes a byte of items. A
+benchmark beyond BLOCK_BYTES is scanned for in several blocks of items, one after the other, and the hits of a text united.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import text_slices
+from weftgraph.llm.shared import materialise, text_slices
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # with A-Z, as the original has them
 _SPAN = "array<struct<start: long, end: long>>"
 _SCANNED = f"id long, print long, n_words long, hits array<struct<start: int, end: int>>, items array<long>, spans {_SPAN}"
 
 
-def item_windows(items: list[tuple[int, bytes]], window: int) -> dict[str, tuple[int, list[int]]]:
-    """Pattern -> (its number of words, the items that have it)."""
-    out: dict[str, tuple[int, set[int]]] = {}
-    for item, text in items:
-        words = text.translate(_TABLE).split()
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            out.setdefault((b" " + b" ".join(words[i : i + n]) + b" ").decode("latin-1"), (n, set()))[1].add(item)
-    return {k: (n, sorted(v)) for k, (n, v) in out.items()}
-
-
-def _automaton(items: list[tuple[int, bytes]], window: int):
-    found = ahocorasick.Automaton()
-    for pattern, value in item_windows(items, window).items():
-        found.add_word(pattern, value)
-    found.make_automaton()
-    return found if len(found) else None
+def _symbols(number: int) -> str:
+    """A word's number as three symbols; each place has symbols of its own, so that nothing matches across places."""
+    return chr(number & 127) + chr(128 + (number >> 7 & 127)) + chr(256 + (number >> 14))
+
+
+_UNKNOWN = (0, _symbols(0))
+
+
+class Windows:
+    """The items' windows of `window` words, found in sequences of words."""
+
+    def __init__(self, items: list[tuple[int, bytes]], window: int):
+        self.window, self.numbers, self.texts, self.owners, self.least = window, {}, [], [], 1 << 30
+        block = (window + 1) // 2
+        same: dict[bytes, int] = {}  # items of equal words are one
+        places: dict[tuple, list] = {}
+        for item, text in items:
+            words = text.translate(_TABLE).split()
+            if not words:
+                continue
+            ids = array("I", [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])
+            at = same.setdefault(ids.tobytes(), len(self.texts))
+            if at < len(self.texts):
+                self.owners[at].add(item)
+                continue
+            self.texts.append(ids)
+            self.owners.append({item})
+            if len(ids) < window:
+                places.setdefault(tuple(ids), []).append((at, -1))
+            else:
+                for k in range(0, len(ids) - block + 1, block):
+                    places.setdefault(tuple(ids[k : k + block]), []).append((at, k))
+        self.found = ahocorasick.Automaton()
+        while places:
+            pattern, where = places.popitem()
+            self.least = min(self.least, len(pattern))
+            self.found.add_word("".join(map(_symbols, pattern)), (len(pattern), where))
+        self.found.make_automaton()
+        self.numbers = {w: (i, _symbols(i)) for w, i in self.numbers.items()}
+
+    def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[int]]:
+        """(runs of hit words [start, end), ascending and apart; the items they are of)."""
+        if not self.texts:
+            return [], set()
+        known = list(map(self.numbers.get, words, repeat(_UNKNOWN)))
+        text = "".join([x[1] for x in known])
+        ids: list[int] = []
+        runs, which, done, n = [], set(), {}, len(known)
+        for last, (size, where) in self.found.iter(text):
+            ids = ids or [x[0] for x in known]
+            end = last // 3
+            first = end - size + 1
+            for at, k in where:
+                if k < 0:
+                    runs.append((first, end + 1))
+                    which |= self.owners[at]
+                    continue
+                if done.get((at, first - k), -1) >= end:  # of a run that is extended already
+                    continue
+                text = self.texts[at]
+                a, i = first, k
+                while a and i and ids[a - 1] == text[i - 1]:
+                    a, i = a - 1, i - 1
+                z, j, m = end + 1, k + size, len(text)
+                while z < n and j < m and ids[z] == text[j]:
+                    z, j = z + 1, j + 1
+                done[at, first - k] = z
+                if z - a >= self.window:
+                    runs.append((a, z))
+                    which |= self.owners[at]
+        runs.sort()
+        out: list[list[int]] = []
+        for a, z in runs:
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], z)
+            else:
+                out.append([a, z])
+        return out, which
 
 
 _built: dict = {}  # of this worker, the last automaton
@@ -51,7 +118,7 @@ def _scan(items: list[tuple[int, bytes]], window: int, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _built:
             _built.clear()
-            _built[mark] = _automaton(items, window)
+            _built[mark] = Windows(items, window)
         found = _built[mark]
         for batch in batches:
             counts, hits, items_of, spans = [], [], [], []
@@ -61,19 +128,7 @@ def _scan(items: list[tuple[int, bytes]], window: int, mark: str):
                 for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                     words = flat[s:e].split()
                     counts.append(len(words))
-                    own, which = [], set()
-                    if found is not None and words:
-                        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-                        got = [(end, n, ids) for end, (n, ids) in found.iter(text)]
-                        if got:
-                            spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-                            last = np.searchsorted(spaces, [x[0] for x in got]).tolist()
-                            for z, (_, n, ids) in sorted(zip(last, got, strict=True), key=lambda x: x[0] - x[1][1]):
-                                which.update(ids)
-                                if own and z - n <= own[-1][1]:
-                                    own[-1][1] = max(own[-1][1], z)
-                                else:
-                                    own.append([z - n, z])
+                    own, which = found.hits(words)
                     hits.append([{"start": a, "end": z} for a, z in own])
                     items_of.append(sorted(which))
                     spans.append(_original(raw[s:e].decode(), own) if own else [])
@@ -111,8 +166,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scans = []
     for k in range(n):
         rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        block = sorted((r["item"], r["text"].encode()) for r in rows.collect())
-        scans.append(src.mapInArrow(_scan(block, window, f"{hash(tuple(block))} {window}"), _SCANNED))
+        block = sorted((r["item"], r["text"].encode()) for r in rows.toLocalIterator())
+        scan = src.mapInArrow(_scan(block, window, f"{hash(tuple(block))} {window}"), _SCANNED)
+        # of several blocks each is scanned for before the next is fetched, and rows without a hit are kept of the first alone
+        scans.append(scan if n == 1 else materialise(scan if k == 0 else scan.where("size(hits) > 0"), "scanned"))
     if n == 1:
         got = scans[0].withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
     else:  # of rows that are equal one is scanned, and the result goes to each
