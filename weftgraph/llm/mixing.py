@@ -20,6 +20,8 @@ from weftgraph.llm.shared import materialise, text_slices, word_spans
 
 CHUNK = 2_000
 FAN = 64
+#: Equal rows that a task makes of their count.
+SPREAD = 100_000
 BROADCAST_SOURCES = 100_000
 _EDGE = 1e-9
 
@@ -114,6 +116,17 @@ def _round(seed: int, level: int, last: bool):
     return run
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """The rows with `copy`, 0, 1, ... among those that are equal, so that these too are dealt to chunks evenly. They are counted, not
+    gathered: a task makes at most SPREAD rows of a count."""
+    counted = sized.groupBy("id", "source", "size", "row").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {SPREAD}"))))
+    if (counted.agg(F.max("n")).first()[0] or 0) > SPREAD:
+        parts = parts.repartition("id", "size", "part")
+    last = F.least(F.col("n"), (F.col("part") + 1) * SPREAD) - 1
+    return parts.withColumn("copy", F.explode(F.sequence(F.col("part") * SPREAD, last))).drop("n", "part")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: int = 7, row_col: str | None = None) -> DataFrame:
     """(id_col, size, source_size, target, copies): how often the mix takes each row of `docs`. With `row_col`, a number without nulls
     that tells rows of one id apart, that column too.
@@ -130,10 +143,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = materialise(source_targets(sized, list(weights), most), "targets")
     found = targets.agg(F.count("*"), F.max("n_docs")).first()
     side = targets.withColumnRenamed("source", "of")
-    units = sized.join(F.broadcast(side) if found[0] <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col("of")))
+    units = _numbered(sized).join(F.broadcast(side) if found[0] <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = units.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(F.lit(0.0)))
-    units = units.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("n_docs") / CHUNK))).withColumn("open", F.lit(True))
+    units = units.withColumn("chunk", F.pmod(F.xxhash64("id", "size", "row", "copy"), F.ceil(F.col("n_docs") / CHUNK))).withColumn("open", F.lit(True))
     names = [x.split()[0] for x in _UNIT.split(", ")]
     units, parts, level, chunks = units.select(names), [], 0, -(-(found[1] or 1) // CHUNK)
     while True:
