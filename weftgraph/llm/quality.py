@@ -89,7 +89,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1").select("doc_id")
+    """The ids of labelled texts of good quality that are not toxic; an id with labels of both kinds is left out."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
