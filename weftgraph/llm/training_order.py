@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ class _Ids(dict):
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values(), default=0) > 0xFFFF:
+            raise ValueError("ids are stored in two bytes: the vocabulary has larger ones")
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, unit: str) -> bytes:
@@ -160,7 +163,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def write_shards(ordered: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """Write the rows of training_order as `path`/shard-N.bin, a folder that all executors mount; return (shard, n_sequences, n_bytes).
 
-    A shard is written under another name and renamed when whole. One of the right size that is there already is left alone, so a
+    A shard is written under a name of the task attempt's own and renamed when whole, so attempts that overlap don't meet. One of the right size that is there already is left alone, so a
     run that broke off goes on where it stopped.
     """
     stride = 2 * length
@@ -169,6 +172,7 @@ def write_shards(ordered: DataFrame, path: str, length: int = LENGTH) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
+        own = TaskContext.get().taskAttemptId()  # another attempt, on this host or elsewhere, has another
         out, at, done, skip = None, None, [], False
 
         def close():
@@ -182,7 +186,7 @@ def write_shards(ordered: DataFrame, path: str, length: int = LENGTH) -> DataFra
                     close()
                     at, name = shard, f"{path}/shard-{shard:06d}.bin"
                     skip = os.path.exists(name) and os.path.getsize(name) == n * stride
-                    out = None if skip else open(f"{name}.{os.getpid()}", "wb")
+                    out = None if skip else open(f"{name}.{own}", "wb")
                     done.append((shard, n, n * stride))
                 if not skip:
                     out.write(tokens)
