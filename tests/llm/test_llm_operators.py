@@ -109,7 +109,7 @@ def test_signature_tree_loses_no_link():
 def test_decontaminate(spark, odd, empty, monkeypatch):
     bench = spark.createDataFrame([(1, "c D; e f g h i j k l m n O"), (1, "c D; e f g h i j k l m n O"), (9, "Other!"), (8, None), (None, "x"), (7, "--")], "item_id long, text string")
     want = {(4, 16): (13, [1]), (5, 16): (13, [1]), (None, 16): (13, [1]), (7, 2): (1, [9])}
-    for size in (dc.BLOCK_BYTES, 20):  # one block, several
+    for size in (dc.BLOCK_BYTES, 70):  # one block, several
         monkeypatch.setattr(dc, "BLOCK_BYTES", size)
         rows = dc.decontaminate(odd, bench).collect()
         assert len(rows) == len(ODD)
@@ -120,6 +120,31 @@ def test_decontaminate(spark, odd, empty, monkeypatch):
     assert dc.decontaminate(empty, bench).count() == 0 and dc.decontaminate(odd, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_windows_against_brute_force():
+    rng = random.Random(1)
+    vocabulary = [f"w{k}".encode() for k in range(30)]
+    for _ in range(300):
+        window = rng.choice([1, 2, 3, 5, 13])
+        items = [(i, b" ".join(rng.choice(vocabulary[: rng.choice([2, 5, 30])]) for _ in range(rng.randint(0, 30)))) for i in range(6)]
+        text = [rng.choice(vocabulary[: rng.choice([2, 5, 30])]) for _ in range(40)]
+        for _ in range(2):
+            if own := items[rng.randrange(6)][1].split():
+                a = rng.randrange(len(own))
+                at = rng.randrange(40)
+                text[at:at] = own[a : rng.randint(a, len(own))]
+        hit, which = set(), set()
+        for item, own in items:
+            own = own.split()
+            k = min(window, len(own))
+            known = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)} if k else set()
+            for j in range(len(text) - k + 1):
+                if tuple(text[j : j + k]) in known:
+                    hit |= set(range(j, j + k))
+                    which.add(item)
+        runs, found = dc.Windows(items, window).hits(text)
+        assert {x for a, z in runs for x in range(a, z)} == hit and found == which
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(0, 60), f"s{rng.choice([0, 0, 0, 1, 2, 3])}") for i in range(6000)]
@@ -149,6 +174,30 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix_sources(odd).count() == len(ODD) and mixing.mix_sources(empty).count() == 0
 
 
+def test_pivot_keeps_probabilities():
+    """Copy probabilities are those asked for, whatever the sizes: means over many draws are within five standard errors."""
+    sizes, p, n = [900, 300, 40, 30, 20, 10, 5, 5, 1], [0.3, 0.7, 0.2, 0.5, 0.9, 0.4, 0.6, 0.1, 0.5], 20_000
+    total, rng = np.zeros(len(p)), random.Random(3)
+    for _ in range(n):
+        units = [[i, s, x] for i, (s, x) in enumerate(zip(sizes, p, strict=True))]
+        held = mixing.pivot(units, rng)
+        total += [u[-1] for u in units]
+        assert all(u is held or u[-1] in (0.0, 1.0) for u in units)
+    assert np.all(np.abs(total / n - p) < 5 * np.sqrt(0.25 / n))
+
+
+def test_mixing_deals_equal_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    monkeypatch.setattr(mixing, "SPREAD", 64)
+    docs = spark.createDataFrame([(None, "w w w", "a")] * 900 + [(i, "w w", "b") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 1200 and sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(3)).collect()))
+    taken = sum(r["size"] * r.copies for r in got if r.doc_id is None)
+    assert abs(taken - next(r.target for r in got if r.doc_id is None)) <= 3
+    sized = docs.select(F.col("doc_id").alias("id"), "source", F.lit(3).alias("size"), F.lit(0).alias("row"))
+    assert mixing._numbered(sized).where("id is null").select("copy").distinct().count() == 900
+
+
 def test_quality_base_counts(spark, odd, empty):
     texts = [t for _, t in ODD] + ["one two three four five one two three four five six", "l1 a\nl2\n\nl1 a\n \nl1 a", "a#b $ %% | <x> *", "é ü ß ñ a b c d e f g"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -172,6 +221,38 @@ def test_quality_verdict_on_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_weights_against_brute_force(spark):
+    texts = ["good word here", "good good thing", "bad spam spam spam", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.bucket_weights(docs, docs.select("doc_id").where("doc_id < 2"), "doc_id", "text", buckets=32, prior=1.0).first().weights
+    hashed = {w: (r.h, r.t) for w in {x for t in texts for x in words(t)} for r in [spark.sql(f"SELECT xxhash64('{w}') AS h, xxhash64(right('{w}', 3), 3) AS t").first()]}
+    raw, own = np.zeros(32), np.zeros(32)
+    for i, t in enumerate(texts):
+        w = words(t)
+        pairs = [spark.sql(f"SELECT xxhash64({hashed[a][0]}L, {hashed[b][0]}L) AS h").first().h for a, b in zip(w, w[1:])]
+        for h in [hashed[x][0] for x in w] + [hashed[x][1] for x in w] + pairs:
+            raw[h % 32] += 1
+            own[h % 32] += i < 2
+    want = np.log((own + 1) / (own.sum() / raw.sum() * raw + 1)) * quality.SCALE
+    assert np.abs(np.array(got) - want).max() <= 1
+
+
+def test_trusted_texts_are_not_toxic(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.trusted_ids(labels).collect()} == {1, None}
+
+
+def test_quality_verdict_on_held_out_labels(spark):
+    """Fitted on the labels of even ids, judged on those of odd ones."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = quality.quality_rules(docs, quality.trusted_ids(labels.where("doc_id % 2 = 0"))).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good = [r.kept for r in out if r.quality == 1 and r.toxic == 0 and not r.base_failed]
+    bad = [r.kept for r in out if r.quality == 0]
+    assert len(good) > 100 and len(bad) > 20
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_training_order(spark, odd, empty):
     import base64
 
@@ -187,6 +268,48 @@ def test_training_order(spark, odd, empty):
     assert sum(r.n_tokens for r in rows) == sum(len(encode(t or "")) + 1 for _, t in ODD) and training_order.training_order(empty).count() == 0
 
 
+def slot_by_hand(x, n, key):
+    """Feistel rounds on Python integers, walked until the number is in range."""
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    keys = [int.from_bytes(hashlib.blake2b(f"{key} {r}".encode(), digest_size=8).digest(), "little") for r in range(6)]
+    m = 2**64 - 1
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for k in keys:
+            h = right ^ k
+            h ^= h >> 30
+            h = h * 0xBF58476D1CE4E5B9 & m
+            h ^= h >> 27
+            h = h * 0x94D049BB133111EB & m
+            h ^= h >> 31
+            left, right = right, left ^ (h & ((1 << half) - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_training_order_slots_by_hand(spark):
+    rng = random.Random(8)
+    docs = [(None if i % 9 == 0 else i // 2, " ".join(rng.choice(["a", "bb", "thing"]) for _ in range(rng.randint(0, 60)))) for i in range(60)] * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    length, got = 8, training_order.training_order(df, length=8).collect()
+    counted: dict = {}
+    for d in docs:
+        counted[d] = counted.get(d, 0) + 1
+    rows = []
+    keyed = spark.createDataFrame(list(counted), "id long, text string").selectExpr("id", "text", "xxhash64(text) AS print")
+    keyed = keyed.selectExpr("*", f"pmod(xxhash64(id, print), {training_order.BUCKETS}) AS bucket").collect()
+    for r in sorted(keyed, key=lambda r: (r.bucket, r.id is not None, r.id or 0, r.print)):
+        raw = list(training_order.array("H", training_order.token_bytes(r.text))) + [training_order.END]
+        for _ in range(counted[r.id, r.text]):
+            rows += [(r.id, k // length, raw[k : k + length]) for k in range(0, len(raw), length)]
+    want = {slot_by_hand(x, len(rows), 20240229): row for x, row in enumerate(rows)}
+    assert len(got) == len(want)
+    for r in got:
+        i, seq, piece = want[r.slot]
+        assert (r.doc_id, r.seq_no, r.n_tokens) == (i, seq, len(piece)) and list(training_order.array("H", r.tokens)) == piece + [training_order.END] * (length - len(piece))
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(training_order.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
@@ -203,29 +326,76 @@ def test_shards_round_trip(spark, tmp_path):
     assert len(training_order.write_shards(rows, str(tmp_path), 8).collect()) == len(first) and (tmp_path / "shard-000000.bin").exists()
 
 
-def test_token_counts_against_plain_forward_scores(odd, empty):
-    scores, byte, longest = token_counts.unigram_scores()
-
-    def plain(word):
-        text, best = "▁" + word, [(0.0, 0)]
-        for d in range(1, len(text) + 1):
-            n = len(text[d - 1].encode())
-            options = [] if text[d - 1] in scores else [(best[-1][0] + n * byte, best[-1][1] + n)]
-            options += [(best[d - k][0] + scores[text[d - k : d]], best[d - k][1] + 1) for k in range(1, min(d, longest) + 1) if text[d - k : d] in scores]
-            best.append(max(options, key=lambda x: (x[0], -x[1])))
-        return best[-1][1]
-
-    trie = token_counts.Trie(scores, byte, longest)
-    for w in ["thing", "things", "thin", "th", "éè", "日本語", "x" * 300, "a"]:
-        assert trie.tokens(w) == plain(w)
-    got = {(r.doc_id, r.n_pretokens): r.n_tokens for r in token_counts.token_counts(odd).collect()}
-    assert got[(7, 2)] == plain("other") + plain("text") and got[(1, 0)] == 0 and token_counts.token_counts(empty).count() == 0
+def plain_tokens(model, word):
+    """(tokens, pieces) on the best path by the plain recurrence over ends, ties to fewer tokens and shorter last pieces."""
+    text, best = token_counts.MARK + word, [(0, 0, [])]
+    for d in range(1, len(text) + 1):
+        n = len(text[d - 1].encode())
+        options = [] if text[d - 1] in model.of else [(best[-1][0] + n * model.byte, best[-1][1] + n, best[-1][2])]
+        options += [(best[d - k][0] + model.of[text[d - k : d]], best[d - k][1] + 1, best[d - k][2] + [text[d - k : d]]) for k in range(1, min(d, model.longest) + 1) if text[d - k : d] in model.of]
+        best.append(max(options, key=lambda x: (x[0], -x[1])))
+    return best[-1][1], best[-1][2]
+
+
+WORDS = ["thing", "things", "thin", "th", "éè", "日本語", "x" * 300, "a", "🙂a", "hello", "hell"]
+
+
+def test_trie_against_plain_forward_scores():
+    model = token_counts.Unigram(token_counts.vocabulary())
+    rng = random.Random(2)
+    some = list(dict.fromkeys(WORDS + ["".join(rng.choice("abcdeéßñ日") for _ in range(rng.randint(1, 18))) for _ in range(800)]))
+    want = [plain_tokens(model, w) for w in some]
+    import pyarrow as pa
+
+    assert model.tokens(pa.array(some)).tolist() == [n for n, _ in want]
+    weights = np.arange(1, len(some) + 1)
+    found = dict(zip(model.pieces, model.piece_counts(pa.array(some), weights).tolist(), strict=True))
+    counted: dict = {}
+    for k, (_, pieces) in enumerate(want):
+        for piece in pieces:
+            counted[piece] = counted.get(piece, 0) + k + 1
+    assert {k: n for k, n in found.items() if n} == counted
+
+
+def test_token_counts_against_plain_estimation(spark, odd, empty):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    count: dict = {}
+    for w in (w for own in texts.values() for w in own):
+        count[w] = count.get(w, 0) + 1
+    pieces = token_counts.vocabulary()
+    model = token_counts.Unigram(pieces)
+    for _ in range(token_counts.ROUNDS):
+        own: dict = {}
+        for w, n in count.items():
+            for piece in plain_tokens(model, w)[1]:
+                own[piece] = own.get(piece, 0) + n
+        model = token_counts.Unigram(pieces, [own.get(x, 0) for x in pieces])
+    per_word = {w: plain_tokens(model, w)[0] for w in count}
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(docs).collect()}
+    assert got == {k: (len(own), sum(per_word[w] for w in own)) for k, own in texts.items()}
+    again = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(docs.repartition(5)).collect()}
+    assert again == got
+    rows = token_counts.token_counts(odd, unigram=model).collect()
+    assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {0}
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def test_a_worker_forgets_and_counts_alike(monkeypatch):
+    import pyarrow as pa
+
+    model = token_counts.Unigram(token_counts.vocabulary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([" ".join(WORDS[k % 7 :]) for k in range(30)])], names=["id", "text"])
+    want = list(token_counts._count(model)(iter([batch])))
+    monkeypatch.setattr(token_counts, "KNOWN", 3)
+    monkeypatch.setattr(shared, "SLICE_BYTES", 64)
+    assert list(token_counts._count(model)(iter([batch, batch])))[1].equals(want[0])
 
 
 def test_surrogates(spark, odd, empty):
     text = "Frau Anna Weber, Frau Weber: a.b@x.org c@x.org, 4111 1111 1111 1111, 1.2.3.4, (212) 555-0100, Господин Петров"
     docs = spark.createDataFrame([(1, text), (2, "call (212) 555-0100 now"), (2, None), (3, "no data")], "doc_id long, text string")
-    rows = surrogates.replace_pii(docs, key="k").collect()
+    rows = surrogates.replace_pii(docs, "k").collect()
     got = {r.doc_id: r.text for r in rows if r.text}
     assert len(rows) == 4 and got[3] == "no data"
     for x in ("Weber", "a.b@x.org", "4111", "1.2.3.4", "555-0100", "Петров"):
@@ -235,7 +405,7 @@ def test_surrogates(spark, odd, empty):
     names = re.match(r"Frau (\w+) (\w+), Frau (\w+):", got[1])
     assert names[1] in surrogates.NAMES["latin f"] and names[2] == names[3]
     assert len(set(re.findall(r"@(\S+\.org)", got[1]))) == 1 and re.search(r"Господин [А-Я][а-я]+", got[1])
-    assert surrogates.replace_pii(odd).count() == len(ODD) and surrogates.replace_pii(empty).count() == 0
+    assert surrogates.replace_pii(odd, "k").count() == len(ODD) and surrogates.replace_pii(empty, "k").count() == 0
 
 
 def test_surrogates_stay_apart(spark):
@@ -264,6 +434,88 @@ def test_surrogates_of_one_entity_in_two_formats(spark):
     assert len({bare(x) for x in out.values()}) == len(pairs) + len(other)
 
 
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(digits))) % 10
+
+
+def shape(text):
+    return re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text)))
+
+
+def test_surrogates_of_a_made_corpus(spark):
+    """Held against what was planted: the texts around entities stay, equal entities get equal surrogates, others others, of one shape."""
+    rng = random.Random(9)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        base = "4" + digits(14)
+        return next(base + c for c in "0123456789" if luhn(base + c) == 0)
+
+    def iban():
+        own = digits(18)
+        return next(f"DE{k:02d}{own}" for k in range(2, 99) if mod97(f"DE{k:02d}{own}") == 1)
+
+    people = [(g, f"{rng.choice(surrogates.GIVEN[g][:40])} {rng.choice(['Weber', 'Klein', 'Stone', 'Rivera', 'Novak'])}") for g in "fmfmfmfm"]
+    made = {"email": [f"{rng.choice('abc')}.{rng.choice(['lee', 'roy'])}@{rng.choice(['x', 'y', 'mail.z'])}.org" for _ in range(12)], "card": [card() for _ in range(10)], "iban": [iban() for _ in range(10)]}
+    made |= {"ssn": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(10)], "ip": [f"{rng.randint(10, 99)}.{rng.randint(1, 9)}.1.{rng.randint(1, 9)}" for _ in range(10)], "secret": [f"password=пароль{k}-ключ" for k in range(5)] + ["password=!!!!!!??", "password=??!!!!!!"]}
+    made |= {"name": [t for _, t in people] + [f"Dr. {t}" for _, t in people] + [f"{'Frau' if g == 'f' else 'Herr'} {t.split()[-1]}" for g, t in people]}
+    texts, planted = [], []
+    for _ in range(120):
+        own = [rng.choice(made[k]) for k in rng.sample(sorted(made), 3)]
+        planted.append(own)
+        texts.append("start " + " then ".join(own) + " end.")
+    rows = surrogates.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    new: dict = {}
+    for r in rows:
+        assert r.n_entities == 3, texts[r.doc_id]
+        got = re.fullmatch("start (.*) then (.*) then (.*) end[.]", r.text)
+        for a, b in zip(planted[r.doc_id], got.groups(), strict=True):
+            assert new.setdefault(a, b) == b and a != b
+    assert len(set(new.values())) == len(new) and not set(new) & set(new.values())
+    for a, b in new.items():
+        kind = next(k for k, own in made.items() if a in own)
+        if kind in ("card", "ssn", "ip", "iban"):
+            assert shape(a)[0] == shape(b)[0] and len(a) == len(b)
+        if kind == "card":
+            assert luhn(b) == 0
+        if kind == "iban":
+            assert mod97(b) == 1 and b[:2] == "DE"
+        if kind == "email":
+            assert {x.split("@")[1] for y, x in new.items() if y.split("@")[-1] == a.split("@")[1] and "@" in y} == {b.split("@")[1]}
+        if kind == "secret":
+            assert not set(a.split("=")[1]) - set("-!?") & set(b.split("=")[1]) or re.search("[а-я]", b)
+            assert "пароль" not in b and "!!!!!!" not in b and len(a) == len(b)
+    family = {}
+    for g, t in people:
+        for a in (t, f"Dr. {t}"):
+            if a in new:
+                given, last = new[a].removeprefix("Dr. ").split(" ")
+                assert given.split("-")[0] in surrogates.NAMES[f"latin {g}"] and family.setdefault(t.split()[-1], last) == last
+        a = f"{'Frau' if g == 'f' else 'Herr'} {t.split()[-1]}"
+        if a in new:
+            assert family.setdefault(t.split()[-1], new[a].split(" ")[1]) == new[a].split(" ")[1]
+    assert len(set(family.values())) == len(family)
+
+
+def test_surrogates_follow_the_key(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@x.org or Mr Smith")], "doc_id long, text string")
+    one, again, other = (surrogates.replace_pii(docs, k).first().text for k in ("k", "k", "l"))
+    assert one == again != other
+
+
+def test_surrogates_of_hot_entities(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"from a@x.org to b{i % 7}@x.org") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, surrogates.replace_pii(docs, "k").collect()))
+    monkeypatch.setattr(surrogates, "HOT_ROWS", 20)
+    assert sorted(map(tuple, surrogates.replace_pii(docs, "k").collect())) == want
+
+
 def test_surrogates_of_secrets(spark):
     cases = {
         'token = "abcd1234efgh"': "abcd1234efgh", 'TOKEN = "0A1B2C3D4E5F60718293"': "0A1B2C3D4E5F60718293", "Password: Hunter22!": "Hunter22", 'password = "correct horse battery"': "horse",
@@ -271,7 +523,7 @@ def test_surrogates_of_secrets(spark):
         "key: id_rsa_2048_abc": "id_rsa_2048_abc", "secret = 'mellon99'": "mellon99",
     }
     plain = ["the key: reading with care", "key = getValue", "token: https://x.org/page1", "a password is needed", "no secrets here"]
-    rows = surrogates.replace_pii(spark.createDataFrame(list(enumerate([*cases, *plain])), "doc_id long, text string")).collect()
+    rows = surrogates.replace_pii(spark.createDataFrame(list(enumerate([*cases, *plain])), "doc_id long, text string"), "k").collect()
     got = {r.doc_id: r for r in rows}
     for i, (text, value) in enumerate(cases.items()):
         assert got[i].n_entities == 1 and value not in got[i].text and len(got[i].text) == len(text), text
