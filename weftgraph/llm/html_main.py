@@ -1,7 +1,8 @@
 """HTML extraction: gradient-boosted trees over DOM nodes, and a hierarchical decoding.
 
 A page becomes a tree of block elements whose leaves are runs of text. Each node has a log-odds of holding main text, from boosted
-trees over its tag, attribute tokens, depth, siblings, and the densities of its subtree. The labelling of highest likelihood under the
+trees over its tag, attribute tokens, depth, siblings, and the densities of its subtree. No word of an attribute decides alone: the
+training pages put such words on main text too, and a token's weight depends on what stands beside it. The labelling of highest likelihood under the
 rule that a node which holds main text has parents which do is found by one pass over the tree; the kept leaves are the text.
 
 The trees are fitted here, on TRAIN_PAGES pages that are generated from a grammar of layouts with known labels.
@@ -21,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 400
-TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 32
+TRAIN_PAGES = 900
+TREES, DEPTH, RATE, BINS = 80, 5, 0.25, 32
 HASHED = 16
+#: Counts of siblings and children go no further in features, so that long pages are like others.
+MOST = 30
+#: Features but tags and hashed tokens.
+PLAIN = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -36,18 +41,19 @@ RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 TAGS = "body main article section div p h1 h2 h3 ul ol li table td blockquote pre figure figcaption nav header footer aside form #text".split()
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"])}
 NOT_IN_P = frozenset("article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+PROSE = frozenset("p blockquote pre h1 h2 h3 h4 li dd td".split())
 BAD = frozenset("nav menu breadcrumb breadcrumbs header masthead banner footer foot sidebar side aside ad ads advert advertisement sponsor sponsored promo notice cookie cookies consent popup modal alert form search login signup subscribe newsletter comment comments reply respond disqus share social related recommended tags widget toolbar pagination pager copyright legal".split())
 GOOD = frozenset("article content main post entry story body text articlebody page prose".split())
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "kids", "text", "depth", "links", "raw", "size", "nodes", "inside", "place")
+    __slots__ = ("tag", "tokens", "parent", "kids", "text", "depth", "links", "raw", "size", "nodes", "inside", "place", "prose", "heads", "largest")
 
     def __init__(self, tag, tokens, parent):
         self.tag, self.tokens, self.parent, self.kids = tag, tokens, parent, []
         self.text = self.links = ""
         self.depth = parent.depth + 1 if parent else 0
-        self.raw = self.size = self.nodes = self.inside = self.place = 0
+        self.raw = self.size = self.nodes = self.inside = self.place = self.prose = self.heads = self.largest = 0
 
 
 def parse(page: str) -> Node:
@@ -126,20 +132,27 @@ def flat(root: Node) -> list[Node]:
         todo.extend(reversed(node.kids))
     for node in reversed(out):
         node.size, node.raw, node.nodes = len(node.text), len(node.links), 1
+        if node.text and node.parent.tag in PROSE and 2 * node.raw < node.size:
+            node.prose = node.size
+        node.heads = int(node.tag == "h1")
         for k in node.kids:
             node.size += k.size
             node.raw += k.raw
             node.nodes += k.nodes
+            node.prose += k.prose
+            node.heads += k.heads
+            node.largest = max(node.largest, k.size)
     return out
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     total, count = max(1, nodes[0].size), len(nodes)
-    rows = np.zeros((count, 22 + len(TAGS) + HASHED), np.float32)
-    bad_above, good_above, by_tag = [0] * count, [0] * count, {}
+    rows = np.zeros((count, PLAIN + len(TAGS) + HASHED), np.float32)
+    bad_above, good_above, by_tag = [0.0] * count, [0] * count, {}
+    prose, heads = max(1, nodes[0].prose), nodes[0].heads
     for i, n in enumerate(nodes):
         up = n.parent
-        bad = sum(t in BAD for t in n.tokens) + (n.tag in ("nav", "header", "footer", "aside", "form"))
+        bad = sum(t in BAD for t in n.tokens) / max(1, len(n.tokens)) + (n.tag in ("nav", "header", "footer", "aside", "form"))
         good = sum(t in GOOD for t in n.tokens) + (n.tag in ("article", "main"))
         if up is not None:
             bad_above[i] = bad_above[up.place] + bad
@@ -153,18 +166,21 @@ def features(nodes: list[Node]) -> np.ndarray:
             by_tag[up.place] = seen
         text = n.text or (n.kids[0].text if n.kids else "")
         r = rows[i]
-        r[:22] = (
-            bad, good, bad_above[i], good_above[i], n.depth, n.inside, len(kids), n.inside / len(kids), by_tag[up.place][n.tag] if up is not None else 1, len(n.kids),
+        r[:PLAIN] = (
+            n.prose / prose, n.prose / max(1, n.size), n.heads > 0, heads > 0, n.size / max(1, up.largest) if up is not None else 1, up.prose / prose if up is not None else 1, len(n.tokens), np.log1p(n.prose),
+            up.parent.prose / prose if up is not None and up.parent is not None else 1, up.parent.tag in TAGS[:4] if up is not None and up.parent is not None else 0,
+            bad, good, bad_above[i], good_above[i], n.depth, min(n.inside, MOST), min(len(kids), MOST), n.inside / len(kids), min(by_tag[up.place][n.tag], MOST) if up is not None else 1, min(len(n.kids), MOST),
             np.log1p(n.size), n.size / total, n.raw / max(1, n.size), n.size / n.nodes, i / count, text.count(",") + text.count("."), sum(map(str.isupper, text[:200])) / max(1, min(200, len(text))),
             up.size / total if up is not None else 1, up.raw / max(1, up.size) if up is not None else 0, up.size / up.nodes if up is not None else 0, np.log1p(kids[n.inside - 1].size) if n.inside else 0, np.log1p(kids[n.inside + 1].size) if n.inside + 1 < len(kids) else 0,
         )
         if n.tag in _TAG_AT:
-            r[22 + _TAG_AT[n.tag]] = 1
+            r[PLAIN + _TAG_AT[n.tag]] = 1
         for t in n.tokens:
-            r[22 + len(TAGS) + zlib.crc32(t.encode()) % HASHED] = 1
+            r[PLAIN + len(TAGS) + zlib.crc32(t.encode()) % HASHED] = 1
     return rows
 
 
+_ALL_NAMES = sorted(BAD | GOOD)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -217,57 +233,99 @@ class Boosted:
 # --- training pages -----------------------------------------------------------------------------------------------------------
 
 
-def training_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page of a random layout, and its main blocks of text in order. Words of main text begin with M, so nodes can be labelled."""
+MARK = "\x01"
+
+
+def training_nodes(page: str) -> tuple[list[Node], np.ndarray]:
+    """The nodes of a training page without MARK, and whether each holds main text."""
+    root = parse(page)
+    todo, main = [root], set()
+    while todo:
+        node = todo.pop()
+        todo += node.kids
+        if MARK in node.text:
+            node.text, node.links = node.text.replace(MARK, ""), node.links.replace(MARK, "")
+            while node is not None and id(node) not in main:
+                main.add(id(node))
+                node = node.parent
+    nodes = flat(root)
+    return nodes, np.array([id(n) in main for n in nodes], np.float64)
+
+
+#: Ways in which a training page wraps its main text.
+WRAPS = 14
+
+
+def training_page(rng: random.Random, wraps: tuple[int, ...] = tuple(range(WRAPS))) -> tuple[str, list[str]]:
+    """A page of a random layout, and its main blocks of text in order. Words of main text begin with MARK; training_nodes takes it off."""
     main: list[str] = []
 
+    def word():
+        return "".join(rng.choice(["ta", "re", "on", "li", "su", "é", "ver"]) for _ in range(rng.randint(1, 4)))
+
     def words(n, mark=""):
-        return " ".join(mark + "".join(rng.choice(["ta", "re", "on", "li", "su", "é", "ver"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+        return " ".join(mark + (word().capitalize() if rng.random() < 0.15 else word()) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
 
     def text(lo, hi):
-        got = words(rng.randint(lo, hi), "M")
-        main.append(got)
+        got = words(rng.randint(lo, hi), MARK)
+        main.append(got.replace(MARK, ""))
         cut = got.split(" ")
         k = rng.randrange(len(cut))
         cut[k] = rng.choice(["<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "{}", "{}"]).format(cut[k])
         return " ".join(cut)
 
+    def any_name():
+        """Attribute words that say nothing: those of menus and notices too, by themselves or beside others."""
+        pool = [rng.choice(_ALL_NAMES), word(), word(), rng.choice(_ALL_NAMES)]
+        return rng.choice(["-", " ", "_"]).join(rng.sample(pool, rng.randint(1, 3)))
+
+    def attr(odds, *names):
+        """A class or id: one of `names`, sometimes with more words; by `odds` one that says nothing; or none."""
+        r = rng.random()
+        if r < odds:
+            return f' {rng.choice(["class", "class", "id"])}="{any_name()}"'
+        if not names or r > 0.97:
+            return ""
+        name = rng.choice(names)
+        return f' {rng.choice(["class", "class", "id"])}="{name if rng.random() < 0.7 else name + rng.choice(["-", " "]) + word()}"' if name else ""
+
     def links(tag="ul"):
         rows = [f'<a href="/{i}">{words(rng.randint(1, 3))}</a>' for i in range(rng.randint(2, 9))]
         return f"<{tag}>" + "".join(f"<li>{r}</li>" if tag == "ul" else r + " | " for r in rows) + f"</{tag}>"
 
     def junk(where):
         kind = rng.randrange(12)
-        name = rng.choice(["ad", "ad-box", "advert", "sponsored", "promo"])
         if kind == 0:
-            return f'<div class="{name}">{words(rng.randint(3, 40))}</div>'
+            return f'<div{attr(0, "ad", "ad-box", "advert", "ads", "sponsored", "promo")}>{words(rng.randint(3, 40))}</div>'
         if kind == 1:
-            return f'<aside class="{rng.choice(["", "sidebar", "related"])}"><h3>{words(2)}</h3>{links()}<p>{words(rng.randint(2, 25))}</p></aside>'
+            return f'<aside{attr(0.1, "", "sidebar", "related")}><h3>{words(2)}</h3>{links()}<p>{words(rng.randint(2, 25))}</p></aside>'
         if kind == 2:
-            return f'<div id="{rng.choice(["sidebar", "side-column", "widget-area"])}"><p>{words(rng.randint(5, 40))}</p>{links()}</div>'
+            return f'<div{attr(0, "sidebar", "side-column", "widget-area")}><p>{words(rng.randint(5, 40))}</p>{links()}</div>'
         if kind == 3:
-            return f'<div class="{rng.choice(["cookie-notice", "consent-banner", "notice", "alert"])}"><p>{words(rng.randint(5, 40))}</p><a href="#">{words(1)}</a></div>'
+            return f'<div{attr(0, "cookie-notice", "consent-banner", "notice", "alert", "cookies")}><p>{words(rng.randint(5, 40))}</p><a href="#">{words(1)}</a></div>'
         if kind == 4:
-            return f'<form class="{rng.choice(["search", "newsletter", "login"])}"><label>{words(3)}</label><input><p>{words(rng.randint(1, 15))}</p><button>{words(1)}</button></form>'
+            return f'<form{attr(0.1, "search", "newsletter", "login")}><label>{words(3)}</label><input><p>{words(rng.randint(1, 15))}</p><button>{words(1)}</button></form>'
         if kind == 5:
-            return f'<div class="{rng.choice(["share", "social-links", "tags"])}">{links("div")}</div>'
+            return f'<div{attr(0.1, "share", "social-links", "tags")}>{links("div")}</div>'
         if kind == 6:
-            return f'<nav class="breadcrumbs">{links("div")}</nav>'
+            return f'<nav{attr(0.1, "breadcrumbs")}>{links("div")}</nav>'
         if kind == 7 and where == "after":
-            rows = "".join(f'<{t} class="comment"><p>{words(rng.randint(4, 60))}</p></{t}>' for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 6))
-            return f'<{(t := rng.choice(["section", "div"]))} {rng.choice(["id", "class"])}="{rng.choice(["comments", "responses", "comment-list"])}"><h3>{words(1)}</h3>{rows}</{t}>'
+            t = rng.choice(["div", "li", "article"])
+            rows = "".join(f'<{t}{attr(0, "comment", "reply")}><p>{words(rng.randint(4, 60))}</p></{t}>' for _ in range(rng.randint(1, 6)))
+            outer = rng.choice(["section", "div"])
+            return f'<{outer}{attr(0, "comments", "responses", "comment-list")}><h3>{words(1)}</h3>{rows}</{outer}>'
         if kind == 8:
-            return f'<div class="{rng.choice(["related", "recommended", "more-stories"])}"><h3>{words(2)}</h3>{links()}</div>'
+            return f'<div{attr(0.1, "related", "recommended", "more-stories")}><h3>{words(2)}</h3>{links()}</div>'
         return ""
 
-    def body():
-        out = [f"<h1>{text(2, 12)}</h1>"] if rng.random() < 0.9 else []
-        for _ in range(rng.randint(1, 9)):
+    def body(least=1):
+        out = [f"<h1{attr(0.1)}>{text(2, 12)}</h1>"] if rng.random() < 0.9 else []
+        for _ in range(rng.randint(least, 9) if rng.random() > 0.03 else rng.randint(40, 400)):
             r = rng.random()
             if r < 0.72:
-                out.append(f"<p>{text(2, 130)}" + rng.choice(["</p>", "</p>", "</p>", "", "<br>" + text(1, 20) + "</p>"]))
+                out.append(f"<p{attr(0.08)}>{text(2, 130)}" + rng.choice(["</p>", "</p>", "</p>", "", "<br>" + text(1, 20) + "</p>"]))
             elif r < 0.8:
-                out.append(f"<h2>{text(1, 7)}</h2>")
+                out.append(f"<h2{attr(0.1)}>{text(1, 7)}</h2>")
             elif r < 0.86:
                 out.append("<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
             elif r < 0.9:
@@ -280,25 +338,37 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
                 out.append(junk("in"))
         return "".join(out)
 
-    def wrap(inner):
-        kind = rng.randrange(9)
-        if kind < 4:
-            return f"<article>{inner}</article>"
+    def wrap():
+        kind = rng.choice(wraps)
+        if kind < 3:
+            return f"<article{attr(0.3)}>{body()}</article>"
+        if kind == 3:
+            return f'<article{attr(0.4, "post", "entry", "hentry")}><div{attr(0.4, "body", "text")}>{body()}</div></article>'
         if kind == 4:
-            return f"<main>{inner}</main>"
+            return f"<main{attr(0.3)}>{body()}</main>"
         if kind == 5:
-            return f'<main><article class="post">{inner}</article></main>'
+            return f'<main><article{attr(0.4, "post")}>{body()}</article></main>'
         if kind == 6:
-            return f'<div class="{rng.choice(["content", "post-body", "entry-content", "article-text", "story"])}">{inner}</div>'
+            return f'<div{attr(0.25, "content", "post-body", "entry-content", "article-text", "story")}>{body()}</div>'
         if kind == 7:
-            return f'<div id="{rng.choice(["content", "main", "page"])}"><div>{inner}</div></div>'
-        return f"<section>{inner}</section>"
-
-    head = rng.choice([lambda: f"<nav>{links()}</nav>", lambda: f'<header><div class="logo">{words(2)}</div><nav>{links()}</nav></header>', lambda: f'<div class="menu">{links()}</div>', lambda: f'<div id="header"><h2>{words(3)}</h2>{links("div")}</div>'])()
+            return f'<div{attr(0.2, "content", "main", "page")}><div{attr(0.3)}>{body()}</div></div>'
+        if kind == 8:
+            return f"<section{attr(0.3)}>{body(2)}</section>"
+        if kind == 9:
+            return f"<div{attr(0.3)}><div{attr(0.3)}><div{attr(0.3)}>{body(3)}</div></div></div>"
+        if kind == 10:
+            return f'<main{attr(0.2)}><header{attr(0.2)}><h1>{text(2, 9)}</h1></header><section{attr(0.3)}>{body(2)}</section></main>'
+        if kind == 11:
+            return f"<table><tr><td{attr(0.3)}>{links()}</td><td{attr(0.3)}>{body(3)}</td></tr></table>"
+        if kind == 12:
+            return body(3)
+        return f'<div{attr(0.2, "container", "wrapper")}>{junk("before")}<div{attr(0.3, "column")}>{body(2)}</div>{junk("after")}</div>'
+
+    head = rng.choice([lambda: f"<nav{attr(0.2)}>{links()}</nav>", lambda: f'<header{attr(0.2)}><div class="logo">{words(2)}</div><nav>{links()}</nav></header>', lambda: f'<div{attr(0.1, "menu")}>{links()}</div>', lambda: f'<div{attr(0.1, "header")}><h2>{words(3)}</h2>{links("div")}</div>', lambda: f'<div{attr(0.1, "top")}><h1>{words(2)}</h1></div>'])()
     before = junk("before") + junk("before")
-    inner = wrap(body())
+    inner = wrap()
     after = junk("after") + junk("after")
-    foot = rng.choice([lambda: f"<footer>&copy; {words(rng.randint(2, 30))}</footer>", lambda: f'<div class="footer"><p>{words(rng.randint(2, 20))}</p>{links("div")}</div>', lambda: f'<div id="footer">{links()}&copy; {words(3)}</div>', lambda: ""])()
+    foot = rng.choice([lambda: f"<footer{attr(0.2)}>&copy; {words(rng.randint(2, 30))}</footer>", lambda: f'<div{attr(0, "footer")}><p>{words(rng.randint(2, 20))}</p>{links("div")}</div>', lambda: f'<div{attr(0, "footer")}>{links()}&copy; {words(3)}</div>', lambda: ""])()
     page = f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>{head}<!-- x -->{before}{inner}{after}{foot}</body></html>"
     if rng.random() < 0.1:
         cut = rng.randint(len(page) // 2, len(page))
@@ -307,14 +377,11 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
 
 
 @functools.lru_cache(maxsize=1)
-def model(pages: int = TRAIN_PAGES, seed: int = 11) -> Boosted:
+def model(pages: int = TRAIN_PAGES, seed: int = 11, wraps: tuple[int, ...] = tuple(range(WRAPS))) -> Boosted:
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
-        nodes = flat(parse(training_page(rng)[0]))
-        own = np.array([n.tag == "#text" and n.text.startswith("M") for n in nodes], np.float64)
-        for i in range(len(nodes) - 1, 0, -1):
-            own[nodes[i].parent.place] = max(own[nodes[i].parent.place], own[i])
+        nodes, own = training_nodes(training_page(rng, wraps)[0])
         xs.append(features(nodes))
         ys.append(own)
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys))
