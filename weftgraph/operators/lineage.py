@@ -1,16 +1,27 @@
-"""Loops cut their plans each round, with a checkpoint in the folder that the cluster names."""
+"""Tables that loops and reused results write, in the folder that the cluster names: lineage ends there, columns and statistics stay."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set a folder of our own, but on one machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in spark.checkpoint.dir; a folder of our own is set only where that is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-"))
-    return df.checkpoint()
+    """`df` computed once and kept as Parquet in the shared folder, so that a lost executor costs no rerun of what led there. The files
+    stay until the folder is cleared, as later plans read them."""
+    path = f"{shared_folder(df.sparkSession)}/weftgraph/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
