@@ -69,16 +69,20 @@ def nearest(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return _walk(roots, edges, None)[0].select("artifact", "version", "depth", "via")
 
 
+#: Walks until forced versions must be stable.
+ROUNDS = 20
+
+
 def highest(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(artifact, version, depth, via): of each artifact the highest version that any chosen one asks for; walks again with those
-    versions forced until they are stable."""
-    forced, before, chosen = None, None, None
-    while True:
+    versions forced until they are stable. Raises if they are not after ROUNDS walks, rather than give versions that don't hold."""
+    forced = before = None
+    for _ in range(ROUNDS):
         chosen, asked = _walk(roots, edges, forced)
         if forced is not None:
             asked = asked.unionByName(forced)
         forced = cut(asked.withColumn("k", version_key(F.col("version"))).groupBy("artifact").agg(F.max_by("version", F.struct("k", "version")).alias("version")))
         if before is not None and forced.exceptAll(before).isEmpty():
-            break
+            return chosen.select("artifact", "version", "depth", "via")
         before = forced
-    return chosen.select("artifact", "version", "depth", "via")
+    raise RuntimeError(f"versions are not stable after {ROUNDS} walks")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -9,32 +10,42 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.lineage import cut
 
+#: Rounds whose new nodes are kept as tables of their own.
+MERGE = 16
+
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, depth): nodes reachable from `roots` (node), roots at 0; a frontier loop that joins new nodes only."""
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
-    front = seen
+    """(node, depth): nodes reachable from `roots` (node), roots at 0; a frontier loop that joins new nodes only and writes, each round,
+    the new ones alone."""
+    edges = cut(edges.select("caller", "callee"))
+    front = cut(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    parts = [front]
     for depth in count(1):
+        seen = reduce(DataFrame.unionByName, parts)
         step = front.join(edges, front.node == edges.caller).select(F.col("callee").alias("node")).distinct()
         front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+            return seen
+        parts.append(front)
+        if len(parts) > MERGE:  # many small tables become one
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
 
 
 def paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(path, depth, note): every step of every simple path from the roots, one row a step. A callee on the path gives a row with
     note 'CYCLE' that goes no further; a callee with callees of its own at max_depth has note 'DEPTH'. Diamonds repeat."""
     has = edges.select(F.col("caller").alias("callee")).distinct().withColumn("goes_on", F.lit(True))
-    step = edges.join(has, "callee", "left").select("caller", "callee", F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    step = cut(edges.join(has, "callee", "left").select("caller", "callee", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
     front = roots.select(F.array("node").alias("path"))
     out = None
     for depth in range(1, max_depth + 1):
+        if depth > 1 and front.isEmpty():
+            break
         rows = front.withColumn("caller", F.element_at("path", -1)).join(step, "caller")
         cycle = F.array_contains("path", F.col("callee"))
         note = F.when(cycle, "CYCLE").when(F.lit(depth == max_depth) & F.col("goes_on"), "DEPTH").otherwise("")
-        rows = rows.select(F.concat("path", F.array("callee")).alias("path"), F.lit(depth).cast("long").alias("depth"), note.alias("note"))
+        # each level is written, so that the next one's plan is one join whatever the depth
+        rows = cut(rows.select(F.concat("path", F.array("callee")).alias("path"), F.lit(depth).cast("long").alias("depth"), note.alias("note")))
         out = rows if out is None else out.unionByName(rows)
         front = rows.where("note = ''").select("path")
     return out
@@ -47,14 +58,16 @@ def tree(edges: DataFrame, root: int, max_depth: int, up: bool = False) -> DataF
         edges = edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
     edges = edges.distinct()
     more = edges.where("caller <> callee").select(F.col("caller").alias("callee")).distinct().withColumn("more", F.lit(True))
-    step = edges.join(more, "callee", "left")
+    step = cut(edges.join(more, "callee", "left"))
     front = edges.sparkSession.range(1).select(F.array(F.lit(root).cast("long")).alias("path"))
     out = None
     for depth in range(1, max_depth + 1):
+        if depth > 1 and front.isEmpty():
+            break
         rows = front.withColumn("caller", F.element_at("path", -1)).join(step, "caller").where((F.col("caller") != F.col("callee")) | (F.lit(depth == 1)))
         recursive = F.array_contains("path", F.col("callee"))
         truncated = F.lit(depth == max_depth) & ~recursive & F.coalesce("more", F.lit(False))
-        rows = rows.select(F.concat("path", F.array("callee")).alias("path"), F.lit(depth).cast("long").alias("depth"), F.col("callee").alias("node"), recursive.alias("recursive"), truncated.alias("truncated"))
+        rows = cut(rows.select(F.concat("path", F.array("callee")).alias("path"), F.lit(depth).cast("long").alias("depth"), F.col("callee").alias("node"), recursive.alias("recursive"), truncated.alias("truncated")))
         out = rows if out is None else out.unionByName(rows)
         front = rows.where("NOT recursive").select("path")
     return out

@@ -61,6 +61,10 @@ def bind_kind(name, mods):
 BOUND = {"C": "STATIC_BOUND:CTOR", "U": "STATIC_BOUND:SUPER", "P": "STATIC_BOUND:PRIVATE", "T": "STATIC_BOUND:STATIC", "F": "NOT_OVERRIDABLE:FINAL_METHOD", "L": "NOT_OVERRIDABLE:FINAL_CLASS"}
 
 
+#: Rules up to so many are broadcast to the calls; more are joined by a shuffle.
+BROADCAST_RULES = 100_000
+
+
 def cascade(sites: DataFrame, virtual: DataFrame, rules: DataFrame) -> DataFrame:
     """(edge_id, label, n, targets): bound kinds first; else the virtual candidates, unless CHA; then a rule (decl_type, sig or null,
     impl) that is the most specific; else CHA. Nothing is dropped: a site without candidates keeps its declaration."""
@@ -69,7 +73,8 @@ def cascade(sites: DataFrame, virtual: DataFrame, rules: DataFrame) -> DataFrame
     s = s.join(virtual.select(F.col("type").alias("decl_type"), "sig", "n", "label", "targets"), ["decl_type", "sig"], "left")
     exact = rules.where("sig IS NOT NULL").select("decl_type", "sig", F.col("impl").alias("by_method"))
     wide = rules.where("sig IS NULL").select("decl_type", F.col("impl").alias("by_type"))
-    s = s.join(F.broadcast(exact), ["decl_type", "sig"], "left").join(F.broadcast(wide), "decl_type", "left")
+    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    s = s.join(F.broadcast(exact) if few else exact, ["decl_type", "sig"], "left").join(F.broadcast(wide) if few else wide, "decl_type", "left")
     rule, fixed = F.coalesce("by_method", "by_type"), bound[F.col("kind")]
     cha = (F.col("label") == "CHA") & rule.isNotNull()
     return s.select(

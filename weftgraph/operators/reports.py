@@ -78,3 +78,8 @@ def inventory_stats(inventory: DataFrame) -> DataFrame:
     """One row: how many methods there are, are reached and have each role; zeros if there are none. inventory: of methods_inventory."""
     roles = ("FRAMEWORK_ENTRY", "ENTRY_CANDIDATE", "ISOLATED", "LEAF", "NORMAL")
     return inventory.agg(F.count("*").alias("n_methods"), F.count_if("reachable").alias("n_reachable"), *[F.count_if(F.col("role") == r).alias(f"n_{r.lower()}") for r in roles])
+
+
+def ambiguous_labels(methods: DataFrame) -> DataFrame:
+    """(label, n): short labels (method, label) that several methods share, and how many: those are shown in full."""
+    return methods.groupBy("label").agg(F.countDistinct("method").alias("n")).where("n > 1")

@@ -8,7 +8,7 @@ from weftgraph.functions import names
 from weftgraph.operators import dependencies, dispatch, graph, hierarchy, ranges, reports
 from weftgraph.plans.queries import _BODY_SQL, _DEG_SQL, _KIND_SQL, _NODES_SQL, _PKG_SQL, QUERIES, SQL, _nodes, _packages, query
 from weftgraph.sources import adapters as ad
-from weftgraph.sources.adapters import CLOSURE_SQL, DECLS_SQL, EDGES_SQL, SITES_SQL, table
+from weftgraph.sources.adapters import ALL_CALLS_SQL, CLOSURE_SQL, DECLS_SQL, EDGES_SQL, SITES_SQL, table
 
 
 @query("entry_by_pattern", f"WITH t AS (SELECT page_id, {_PKG_SQL} AS name FROM pages) SELECT page_id, name FROM t WHERE regexp_matches(name, '^com\\.(?:[^.$]+\\.)*.+$')")
@@ -157,11 +157,11 @@ def unresolved_causes(spark, d):
     return reports.unresolved_causes(u)
 
 
-@query("field_tree", f"""WITH {EDGES_SQL}, a AS (SELECT event_type AS field, user_id AS accessor, bool_or(value >= 50) AS w, bool_or(value < 50) AS r FROM events GROUP BY 1, 2)
+@query("field_tree", f"""WITH {ALL_CALLS_SQL}, a AS (SELECT event_type AS field, user_id AS accessor, bool_or(value >= 50) AS w, bool_or(value < 50) AS r FROM events GROUP BY 1, 2)
 SELECT field, accessor, CASE WHEN w AND r THEN 'readwrite' WHEN w THEN 'write' ELSE 'read' END AS access, coalesce(caller, -1) AS caller FROM a LEFT JOIN e ON callee = accessor""")
 def field_tree(spark, d):
     a = table(spark, d, "events").select(F.col("event_type").alias("field"), F.col("user_id").alias("accessor"), F.expr("CASE WHEN value >= 50 THEN 'write' ELSE 'read' END AS access"))
-    return reports.field_tree(a, ad.call_edges(spark, d)).withColumn("caller", F.coalesce("caller", F.lit(-1).cast("long")))
+    return reports.field_tree(a, ad.all_calls(spark, d)).withColumn("caller", F.coalesce("caller", F.lit(-1).cast("long")))
 
 
 @query("expectations", """WITH t AS (SELECT event_id, event_id % 4 AS k, event_type AS v FROM events) SELECT event_id, CASE k WHEN 0 THEN '= ' || v WHEN 1 THEN '≠ ' || v WHEN 2 THEN '∈ {' || v || ', x}' ELSE '∉ {' || v || ', x}' END AS expectation FROM t""")
@@ -171,9 +171,9 @@ def expectations(spark, d):
     return table(spark, d, "events").select("event_id", names.expectation(op, values).alias("expectation"))
 
 
-@query("ambiguous_labels", "SELECT right(c_name, 4) AS label, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+@query("ambiguous_labels", "SELECT right(c_name, 2) AS label, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def ambiguous_labels(spark, d):
-    return table(spark, d, "customer").groupBy(F.expr("right(c_name, 4)").alias("label")).agg(F.count("*").alias("n")).where("n > 1")
+    return reports.ambiguous_labels(table(spark, d, "customer").select(F.col("c_custkey").alias("method"), F.expr("right(c_name, 2)").alias("label")))
 
 
 # --- dependencies -----------------------------------------------------------------------------------------------------------------

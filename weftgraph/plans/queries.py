@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import names
-from weftgraph.operators import graph, hierarchy, maintenance
+from weftgraph.operators import dispatch, graph, hierarchy, maintenance
 from weftgraph.sources import adapters as ad
-from weftgraph.sources.adapters import CLOSURE_SQL, DECLS_SQL, EDGES_SQL, SITES_SQL, table
+from weftgraph.sources.adapters import ALL_CALLS_SQL, CLOSURE_SQL, DECLS_SQL, EDGES_SQL, SITES_SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,8 +29,9 @@ def _nodes(e: DataFrame) -> DataFrame:
 
 
 _NODES_SQL = "v AS (SELECT caller AS node FROM e UNION SELECT callee FROM e)"
-_DEG_SQL = f"""WITH {EDGES_SQL}, {_NODES_SQL},
-d AS (SELECT node, (SELECT count(*) FROM e WHERE callee = node) AS in_degree, (SELECT count(*) FROM e WHERE caller = node) AS out_degree FROM v)"""
+_DEG_TAIL = "d AS (SELECT node, (SELECT count(*) FROM e WHERE callee = node) AS in_degree, (SELECT count(*) FROM e WHERE caller = node) AS out_degree FROM v)"
+_DEG_SQL = f"WITH {EDGES_SQL}, {_NODES_SQL}, {_DEG_TAIL}"
+_ALL_DEG_SQL = f"WITH {ALL_CALLS_SQL}, {_NODES_SQL}, {_DEG_TAIL}"
 
 
 def _paths_sql(depth: int, tail: str) -> str:
@@ -63,7 +64,7 @@ def depth_limit_notes(spark, d):
 
 def _tree_sql(up: bool) -> str:
     edges = "SELECT callee AS caller, caller AS callee FROM e" if up else "SELECT caller, callee FROM e"
-    return f"""WITH RECURSIVE {EDGES_SQL}, t AS MATERIALIZED ({edges}),
+    return f"""WITH RECURSIVE {ALL_CALLS_SQL}, t AS MATERIALIZED ({edges}),
 m AS (SELECT DISTINCT caller FROM t WHERE caller <> callee), r0 AS (SELECT min(caller) AS root FROM e),
 p(path, depth, node, recursive) AS (SELECT [root], CAST(0 AS BIGINT), root, false FROM r0
 UNION ALL SELECT list_append(path, callee), depth + 1, callee, list_contains(path, callee) FROM p JOIN t ON caller = node WHERE NOT recursive AND depth < 3 AND (caller <> callee OR depth = 0))
@@ -71,7 +72,7 @@ SELECT array_to_string(path, '>') AS path, depth, node, recursive, depth = 3 AND
 
 
 def _tree(spark, d, up):
-    e = ad.call_edges(spark, d)
+    e = ad.all_calls(spark, d)
     root = e.agg(F.min("caller")).first()[0]
     return graph.tree(e, root, 3, up).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
@@ -86,26 +87,26 @@ def callers_tree(spark, d):
     return _tree(spark, d, True)
 
 
-@query("reachable_from_roots", f"""WITH RECURSIVE {EDGES_SQL}, r(node) AS (SELECT 0 UNION SELECT callee FROM r JOIN e ON caller = node) SELECT CAST(node AS BIGINT) AS node FROM r""")
+@query("reachable_from_roots", f"""WITH RECURSIVE {ALL_CALLS_SQL}, r(node) AS (SELECT 0 UNION SELECT callee FROM r JOIN e ON caller = node) SELECT CAST(node AS BIGINT) AS node FROM r""")
 def reachable_from_roots(spark, d):
-    return graph.reachable(ad.call_edges(spark, d), spark.range(1).select(F.col("id").alias("node"))).select("node")
+    return graph.reachable(ad.all_calls(spark, d), spark.range(1).select(F.col("id").alias("node"))).select("node")
 
 
-@query("in_degree", f"{_DEG_SQL} SELECT node, in_degree FROM d")
+@query("in_degree", f"{_ALL_DEG_SQL} SELECT node, in_degree FROM d")
 def in_degree(spark, d):
-    e = ad.call_edges(spark, d)
+    e = ad.all_calls(spark, d)
     return graph.degrees(e, _nodes(e)).select("node", "in_degree")
 
 
-@query("out_degree", f"{_DEG_SQL} SELECT node, out_degree FROM d")
+@query("out_degree", f"{_ALL_DEG_SQL} SELECT node, out_degree FROM d")
 def out_degree(spark, d):
-    e = ad.call_edges(spark, d)
+    e = ad.all_calls(spark, d)
     return graph.degrees(e, _nodes(e)).select("node", "out_degree")
 
 
-@query("role_inventory", f"""{_DEG_SQL} SELECT node, CASE WHEN node % 17 = 0 THEN 'FRAMEWORK_ENTRY' WHEN in_degree = 0 AND out_degree = 0 THEN 'ISOLATED' WHEN in_degree = 0 THEN 'ENTRY_CANDIDATE' WHEN out_degree = 0 THEN 'LEAF' ELSE 'NORMAL' END AS role FROM d""")
+@query("role_inventory", f"""{_ALL_DEG_SQL} SELECT node, CASE WHEN node % 17 = 0 THEN 'FRAMEWORK_ENTRY' WHEN in_degree = 0 AND out_degree = 0 THEN 'ISOLATED' WHEN in_degree = 0 THEN 'ENTRY_CANDIDATE' WHEN out_degree = 0 THEN 'LEAF' ELSE 'NORMAL' END AS role FROM d""")
 def role_inventory(spark, d):
-    e = ad.call_edges(spark, d)
+    e = ad.all_calls(spark, d)
     v = _nodes(e)
     return graph.roles(graph.degrees(e, v), v.where("node % 17 = 0"))
 
@@ -124,16 +125,16 @@ def exclude_splice(spark, d):
     return graph.splice(e, _nodes(e).where("node % 10 = 3"))
 
 
-@query("text_keepset", f"""WITH RECURSIVE {EDGES_SQL}, r(node) AS (SELECT DISTINCT callee FROM e WHERE CAST(callee AS VARCHAR) LIKE '%7' UNION SELECT caller FROM r JOIN e ON callee = node) SELECT node FROM r""")
+@query("text_keepset", f"""WITH RECURSIVE {ALL_CALLS_SQL}, r(node) AS (SELECT DISTINCT callee FROM e WHERE CAST(callee AS VARCHAR) LIKE '%7' UNION SELECT caller FROM r JOIN e ON callee = node) SELECT node FROM r""")
 def text_keepset(spark, d):
-    e = ad.call_edges(spark, d)
+    e = ad.all_calls(spark, d)
     back = e.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
     return graph.reachable(back, e.where("cast(callee AS string) LIKE '%7'").select(F.col("callee").alias("node"))).select("node")
 
 
-@query("inbound_index", f"WITH {EDGES_SQL} SELECT callee, string_agg(CAST(caller AS VARCHAR), ',' ORDER BY caller) AS callers FROM e GROUP BY callee")
+@query("inbound_index", f"WITH {ALL_CALLS_SQL} SELECT callee, string_agg(CAST(caller AS VARCHAR), ',' ORDER BY caller) AS callers FROM e GROUP BY callee")
 def inbound_index(spark, d):
-    return ad.call_edges(spark, d).groupBy("callee").agg(F.array_join(F.transform(F.array_sort(F.collect_list("caller")), lambda x: x.cast("string")), ",").alias("callers"))
+    return ad.all_calls(spark, d).groupBy("callee").agg(F.array_join(F.transform(F.array_sort(F.collect_list("caller")), lambda x: x.cast("string")), ",").alias("callers"))
 
 
 # --- types ----------------------------------------------------------------------------------------------------------------------
@@ -221,7 +222,8 @@ def label_histogram(spark, d):
 
 @query("in_degree_resolved", f"WITH RECURSIVE {_CASCADE_SQL}, x AS (SELECT unnest(string_split(targets, ',')) AS target FROM re) SELECT target, count(*) AS in_degree FROM x GROUP BY target")
 def in_degree_resolved(spark, d):
-    return _resolved(spark, d).select(F.explode(F.split("targets", ",")).alias("target")).groupBy("target").agg(F.count("*").alias("in_degree"))
+    by = _resolved(spark, d).groupBy("targets").agg(F.count("*").alias("n"))  # calls of one list are counted before it is dealt out
+    return by.select(F.explode(F.split("targets", ",")).alias("target"), "n").groupBy("target").agg(F.sum("n").alias("in_degree"))
 
 
 @query("candidate_fanout", f"WITH RECURSIVE {_CASCADE_SQL} SELECT edge_id, CASE WHEN n <= 1 THEN 'RESOLVED' WHEN n <= 3 THEN 'CANDIDATE' ELSE 'UNEXPANDED' END AS state, array_to_string(string_split(targets, ',')[1:20], ',') AS listed FROM re")
@@ -320,9 +322,9 @@ def own_valued_fields(spark, d):
 
 @query("narrow_by_bound", f"WITH RECURSIVE {_VIRTUAL_SQL} SELECT vl.type, vl.sig, coalesce(string_agg(x, ',' ORDER BY x) FILTER (x LIKE 'S%'), vl.targets) AS targets FROM vl, unnest(string_split(vl.targets, ',')) AS u(x) GROUP BY vl.type, vl.sig, vl.targets")
 def narrow_by_bound(spark, d):
-    v = _virtual(spark, d)
-    few = F.filter(F.split("targets", ","), lambda x: x.startswith("S"))
-    return v.select("type", "sig", F.when(F.size(few) > 0, F.array_join(few, ",")).otherwise(F.col("targets")).alias("targets"))
+    v = _virtual(spark, d).select(F.concat_ws("#", "type", "sig").alias("edge_id"), "type", "sig", F.split("targets", ",").alias("targets"))
+    bound = v.select("edge_id", F.filter("targets", lambda x: x.startswith("S")).alias("allowed"))
+    return dispatch.narrowed(v, bound).join(v.select("edge_id", "type", "sig"), "edge_id").select("type", "sig", F.array_join("targets", ",").alias("targets"))
 
 
 # --- predicates and names ---------------------------------------------------------------------------------------------------------
@@ -332,7 +334,10 @@ _GUARD_SQL = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END"
 
 @query("guard_pruned_calls", f"SELECT event_id, coalesce({_GUARD_SQL} <> 'click', true) AND coalesce(value > 20 OR event_id % 3 = 0, true) AS kept FROM events")
 def guard_pruned_calls(spark, d):
-    return table(spark, d, "events").select("event_id", F.expr(f"coalesce({_GUARD_SQL} <> 'click', true) AND coalesce(value > 20 OR event_id % 3 = 0, true) AS kept"))
+    ev = table(spark, d, "events").withColumn("kind", F.when(F.col("event_id") % 5 != 0, F.col("event_type"))).withColumn("large", F.when(F.col("value").isNotNull(), ((F.col("value") > 20) | (F.col("event_id") % 3 == 0)).cast("string")))
+    atoms = F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(c).alias("subject"), F.array(F.lit(v)).alias("values")) for op, c, v in (("NE", "kind", "click"), ("EQ", "large", "true"))])).alias("a")
+    cut = dispatch.pruned_by_guards(ev.select(F.col("event_id").alias("edge_id"), atoms).select("edge_id", "a.*")).withColumnRenamed("edge_id", "event_id").withColumn("cut", F.lit(True))
+    return ev.join(cut, "event_id", "left").select("event_id", F.col("cut").isNull().alias("kept"))
 
 
 _PKG_SQL = "array_to_string(list_reverse(string_split(regexp_extract(url, '://([^/?#]+)', 1), '.')), '.')"
@@ -441,11 +446,6 @@ def _deps(spark, d):
     return table(spark, d, "documents").where("doc_id % 5 <> 0 AND doc_id % 200 >= 60").select(F.expr("source || '/' || doc_id AS path"), F.expr("source || '/' || (doc_id - 20 * (1 + doc_id % 3)) AS dep"))
 
 
-@query("stale_types", f"WITH {_DIFF_SQL} SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM df WHERE change <> 'SAME' GROUP BY 1")
-def stale_types(spark, d):
-    return file_diff(spark, d).where("change <> 'SAME'").groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.count("*").alias("n"))
-
-
 @query("stale_dependents", f"WITH {_DIFF_SQL}, {_DEPS_SQL} SELECT DISTINCT dp.path FROM dp JOIN df ON df.path = dp.dep AND change <> 'SAME'")
 def stale_dependents(spark, d):
     return _deps(spark, d).join(file_diff(spark, d).where("change <> 'SAME'").select(F.col("path").alias("dep")), "dep").select("path").distinct()
@@ -477,12 +477,6 @@ def reordered_packages(spark, d):
     return a.where("o <> n").select("pkg")
 
 
-@query("block_crc_check", "SELECT conv_id AS block, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns, max(sha256(role || text)) AS top FROM conversations GROUP BY conv_id")
-def block_crc_check(spark, d):
-    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("block"))
-    return c.agg(F.count("*").alias("n"), F.sum("turn").alias("turns"), F.max(F.sha2(F.concat("role", "text").cast("binary"), 256)).alias("top"))
-
-
 def block_checksums(spark, d):
     c = table(spark, d, "conversations")
     return maintenance.block_crc(c.select(F.col("conv_id").alias("block"), F.col("turn").alias("pos"), F.concat_ws("\t", "role", "text").alias("line")))
