@@ -232,7 +232,7 @@ def walk_first_rows(spark, d):
 @query("lambda_collapse", f"WITH RECURSIVE {EDGES_SQL}, r(caller, callee) AS (SELECT caller, callee FROM e WHERE caller % 4 <> 1 UNION SELECT r.caller, e.callee FROM r JOIN e ON e.caller = r.callee WHERE r.callee % 4 = 1) SELECT caller, callee FROM r WHERE callee % 4 <> 1")
 def lambda_collapse(spark, d):
     e = ad.call_edges(spark, d)
-    return walk.collapse_lambdas(e, e.select(F.col("callee").alias("node")).where("node % 4 = 1").distinct())
+    return walk.collapse_lambdas(e, e.select(F.explode(F.array("caller", "callee")).alias("node")).where("node % 4 = 1").distinct())
 
 
 _ENTRY = Fact("events", {"method": "user_id", "has_body": "user_id % 9 <> 0", "is_lambda": "user_id % 7 = 0", "in_source": "user_id % 5 <> 0"}, distinct=True)
