@@ -351,10 +351,10 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     - Null and repeated ids and rows are kept, each row by itself. Columns other than the two named don't matter. No rows give none.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    has = F.coalesce(F.col("text").rlike(EVERY), F.lit(False))
-    found = src.where(has).withColumn("found", F.regexp_extract_all("text", F.lit(EVERY), 0)).withColumn("print", F.xxhash64("text"))
-    plain = src.where(~has).select("id", "text", F.lit(0).cast("long").alias("n_entities"))
-    hits = materialise(found.select("id", "print", "text", "found"), "found")
+    # one search of each text: what it finds is written beside the texts, so that nothing is searched again to tell the plain ones
+    found = F.coalesce(F.regexp_extract_all("text", F.lit(EVERY), 0), F.array().cast("array<string>"))
+    searched = materialise(src.select("id", "text", found.alias("found"), F.xxhash64("text").alias("print")), "found")
+    hits, plain = searched.where("size(found) > 0"), searched.where("size(found) = 0").select("id", "text", F.lit(0).cast("long").alias("n_entities"))
     each = hits.select("id", "print", F.explode(F.array_distinct("found")).alias("entity")).distinct()
     counts = materialise(each.groupBy("entity").agg(F.count("*").alias("n")), "counts")
     table = surrogate_table(counts.select("entity"), key).select("entity", "surrogate")
