@@ -3,6 +3,8 @@ import zlib
 import pytest
 
 import __spark_entry__ as entry
+from weftgraph.plans import forms, program  # noqa: F401  (they register their queries)
+from weftgraph.plans import more  # noqa: F401
 from weftgraph.plans import queries as q
 
 DATA = "/root/testdata/sf0.001"

@@ -51,7 +51,7 @@ def paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     return out
 
 
-def tree(edges: DataFrame, root: int, max_depth: int, up: bool = False) -> DataFrame:
+def tree(edges: DataFrame, root: int | str, max_depth: int, up: bool = False) -> DataFrame:
     """(path, depth, node, recursive, truncated): the callees (up: callers) tree of a node. Children once each; a node on the path is
     kept, marked recursive and not expanded; a self call shows under the root only; truncated where depth ends before the tree does."""
     if up:
@@ -59,7 +59,8 @@ def tree(edges: DataFrame, root: int, max_depth: int, up: bool = False) -> DataF
     edges = edges.distinct()
     more = edges.where("caller <> callee").select(F.col("caller").alias("callee")).distinct().withColumn("more", F.lit(True))
     step = cut(edges.join(more, "callee", "left"))
-    front = edges.sparkSession.range(1).select(F.array(F.lit(root).cast("long")).alias("path"))
+    kind = edges.schema["caller"].dataType
+    front = edges.sparkSession.range(1).select(F.array(F.lit(root).cast(kind)).alias("path"))
     out = None
     for depth in range(1, max_depth + 1):
         if depth > 1 and front.isEmpty():

@@ -69,12 +69,12 @@ def diagnostics(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None, encoding: str = "UTF-8", one_file: bool = False, bom: bool = False) -> None:
-    """Write (line) as text under `path`. With `one_file` the parts become one, after the header; `bom` puts a byte order mark before it.
+    """Write (line) as text under `path`. With `one_file` all is one file in the order of `lines`, after the header: for reports that
+    people open, as one task writes it; else parts as they come, the header in one of its own. `bom` puts a byte order mark before it.
     Characters that the encoding lacks become question marks."""
+    rows = lines.select("line", F.monotonically_increasing_id().alias("_at"))
     if header is not None or bom:
         first = ("\ufeff" if bom else "") + (header or "")
-        head = lines.sparkSession.createDataFrame([(first,)], "line string")
-        lines = head.unionByName(lines).coalesce(1) if one_file else head.unionByName(lines)
-    elif one_file:
-        lines = lines.coalesce(1)
+        rows = rows.unionByName(lines.sparkSession.createDataFrame([(first, -1)], "line string, _at long"))
+    lines = rows.repartition(1).sortWithinPartitions("_at") if one_file else rows
     lines.select(F.col("line").alias("value")).write.mode("error").option("encoding", encoding).text(path)
