@@ -253,3 +253,19 @@ def test_providers(spark, world):
     assert rows(provided_types(sites, [Mapped({"K": ["Mem"]})], static_bound=True)) == set()
     with pytest.raises(ValueError):
         Hint("OTHER", "x")
+
+
+def test_decisions_from_values(spark, world):
+    receivers = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13)], "edge_id long, node long")
+    types = spark.createDataFrame([(10, "Mem", "T"), (11, "Sub", "M"), (12, "Ghost", "T"), (13, "Sql", "O")], "node long, type string, how string")
+    sites = spark.createDataFrame([(i, "Dao", "find()") for i in range(1, 5)], "edge_id long, decl_type string, sig string")
+    got = resolve.dataflow_targets(receivers, types, sites, world.chosen_all)
+    assert rows(got) == {(1, "DATAFLOW_NEW", "Mem"), (2, "DATAFLOW_FACTORY", "Mem"), (4, "DATAFLOW_FIELD", "Sql")}
+    functions = spark.createDataFrame([(10, "Main$1", "run()", True), (11, "Dao", "find()", False), (12, "Dao", "one()", False)], "node long, type string, sig string, fixed boolean")
+    functional = spark.createDataFrame([(1,), (2,), (3,)], "edge_id long")
+    got = resolve.function_targets(receivers, functions, functional, world.keys, world.found)
+    assert rows(got) == {(1, "DATAFLOW_LAMBDA", "Main$1"), (2, "CHA", "Mem"), (2, "CHA", "Sql"), (3, "DATAFLOW_LAMBDA", "Sql")}
+    calls = spark.createDataFrame([(1, "INVOKE", "A", "m", None), (2, "INVOKE", "A", "m", "int"), (3, "NEW_INSTANCE", "A", None, None), (4, "CTOR_NEW_INSTANCE", "A", None, "int"), (5, "FOR_NAME", "A", None, None)], "edge_id long, kind string, type string, name string, params string")
+    methods = spark.createDataFrame([("A", "m", "int"), ("A", "m", ""), ("A", "<init>", ""), ("A", "<init>", "int"), ("B", "m", "")], "type string, name string, params string")
+    got = resolve.reflective_targets(calls, methods)
+    assert rows(got) == {(1, "REFLECTION", "A", "m(int)"), (1, "REFLECTION", "A", "m()"), (2, "REFLECTION", "A", "m(int)"), (3, "REFLECTION_INIT", "A", "<init>()"), (4, "REFLECTION_INIT", "A", "<init>(int)")}

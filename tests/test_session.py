@@ -74,3 +74,20 @@ def test_lookups_in_bulk(spark):
     methods = spark.createDataFrame([("A#m(int)",), ("A#m(int,int)",), ("A#n()",)], "key string")
     wanted = spark.createDataFrame([("A#m(long)",), ("A#m(x,y)",), ("A#n()",), ("A#n(int)",)], "wanted string")
     assert {tuple(r) for r in lookup.find(methods, wanted).collect()} == {("A#m(long)", "A#m(int)", "loose"), ("A#m(x,y)", "A#m(int,int)", "loose"), ("A#n()", "A#n()", "exact")}
+
+
+def test_command_line(engine, tmp_path, capsys):
+    from weftgraph.__main__ import main
+
+    for name in ("edges", "methods", "accesses", "fields"):
+        getattr(engine, name).write.parquet(f"{tmp_path}/facts/{name}")
+    (tmp_path / "c.properties").write_text("exclude.packages=**\n")
+
+    def said(*argv):
+        code = main([str(tmp_path / "c.properties"), f"{tmp_path}/facts", *argv])
+        return code, capsys.readouterr().out.strip()
+
+    assert said("check") == (1, "exclude_packages: **: WILDCARD_ONLY") and said("status") == (0, "methods=6 edges=3")
+    assert said("find", "a.A#m(long)") == (False, "loose a.A#m(int)") and said("find", "x#y()") == (True, "not found")
+    assert said("callees", "a.A#n()") == (0, "b.B#x(int,int)") and said("callers", "a.A#m(int)") == (0, "c.C#z()")
+    assert said("nonsense")[0] == 2 and main([]) == 2
