@@ -191,7 +191,12 @@ class Boosted:
     """Logistic boosting of trees on binned features; complete trees, a split a level and node."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        flags = np.flatnonzero(np.all((x == 0) | (x == 1), axis=0))  # features of two values share one product a level
+        on = np.ascontiguousarray(x[:, flags], dtype=np.float64)
+        plain = np.setdiff1d(np.arange(x.shape[1]), flags)
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+        for j in flags:
+            self.edges[j] = np.zeros(1)
         binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
         self.base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         score, self.trees = np.full(len(y), self.base), []
@@ -203,7 +208,18 @@ class Boosted:
             for depth in range(DEPTH):
                 width = 1 << depth
                 best, feature, cut = np.full(width, 1e-6), np.zeros(width, np.int64), np.full(width, BINS, np.int64)
-                for j in range(x.shape[1]):
+                side = np.zeros((len(y), width))
+                side[np.arange(len(y)), at] = 1
+                gt, ht = side.T @ g, side.T @ h
+                g1, h1 = (side * g[:, None]).T @ on, (side * h[:, None]).T @ on
+                g0, h0 = gt[:, None] - g1, ht[:, None] - h1
+                gain = g0**2 / (h0 + 1) + g1**2 / (h1 + 1) - (gt**2 / (ht + 1))[:, None]
+                gain[(h0 < 1e-2) | (h1 < 1e-2)] = 0
+                if len(flags):
+                    k = gain.argmax(axis=1)
+                    better = gain[np.arange(width), k] > best
+                    best[better], feature[better], cut[better] = gain[np.arange(width), k][better], flags[k[better]], 0
+                for j in plain:
                     key = at * BINS + binned[:, j]
                     gs, hs = (np.bincount(key, v, width * BINS).reshape(width, BINS).cumsum(axis=1) for v in (g, h))
                     gt, ht = gs[:, -1:], hs[:, -1:]
