@@ -748,3 +748,75 @@ def test_kept_digest(spark):
     r = substring_dedup.op7_substring_dedup(spark, DATA).where("n_removed = 0").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text
     assert r.kept_sha256 == hashlib.sha256(" ".join(words(text)).encode()).hexdigest()
+
+
+def test_pipeline_run(spark):
+    """Every kept text comes back whole from its sequences, as often as the mix takes it, in slots without gaps."""
+    import base64
+
+    import corpus_pipeline as c
+    import tiktoken
+
+    rows = c.run(spark, DATA).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in c.STAGES[:-1]:
+        docs = shared.materialise(stage(spark, docs, DATA), "stage")
+    want: dict = {}
+    for r in docs.collect():
+        want[r.doc_id, r.text] = want.get((r.doc_id, r.text), 0) + 1
+    with open(training_order.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    decode = tiktoken.Encoding("own", pat_str=training_order.PATTERN, mergeable_ranks=ranks, special_tokens={}).decode
+    pieces: dict = {}
+    for r in rows:
+        own = list(training_order.array("H", r.tokens))[: r.n_tokens]
+        pieces.setdefault(r.doc_id, {}).setdefault(r.seq_no, []).append(own)
+    for (doc_id, text), n in want.items():
+        parts = pieces.pop(doc_id)
+        assert all(len(x) == n and all(y == x[0] for y in x) for x in parts.values())
+        ids = [i for k in sorted(parts) for i in parts[k][0]]
+        assert ids[-1] == training_order.END and decode(ids[:-1]) == text
+    assert not pieces
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    good = " ".join(f"word{k} and more" for k in range(30))
+    rows = [(1, good, "s"), (1, good, "s"), (None, None, None), (2, "", "s"), (None, good + " other", None), (3, "x " * 5000, "t")]
+    schema = "doc_id long, text string, source string"
+    for name, given in (("odd", rows), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(given, schema).withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
+    ids = {r.doc_id for r in c.run(spark, f"{tmp_path}/odd").collect()}
+    assert ids <= {1, None} and ids
+
+
+@pytest.mark.parametrize("module, query", [(ngram_join, "op2_ngram_join"), (training_order, "op5_training_order"), (substring_dedup, "op7_substring_dedup")])
+def test_results_are_the_same_without_broadcast(spark, monkeypatch, module, query):
+    want = sorted(map(repr, queries.QUERIES[query](spark, DATA).collect()))
+    monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    assert sorted(map(repr, queries.QUERIES[query](spark, DATA).collect())) == want
+
+
+def test_mixing_without_broadcast(spark, monkeypatch):
+    want = sorted(map(repr, mixing.op8_mix(spark, DATA).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert sorted(map(repr, mixing.op8_mix(spark, DATA).collect())) == want
+
+
+def test_pipeline_without_broadcast(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+
+    def results():
+        return [sorted(map(repr, stage(spark, docs, DATA).collect())) for stage in (c.near_duplicate_stage, c.decontamination_stage, c.mixing_stage)]
+
+    want = results()
+    monkeypatch.setattr(c, "BROADCAST_IDS", -1)
+    assert results() == want
