@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.operators.lineage import shared_folder
+
 #: Java and SQL regular expression of the white space that parts words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same characters, for translate() and trim().
@@ -20,22 +21,10 @@ SLICE_BYTES = 4 << 20
 CHUNK = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
