@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,22 @@ def test_decontaminate(spark, odd, empty, monkeypatch):
     assert dc.decontaminate(empty, bench).count() == 0 and dc.decontaminate(odd, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_substring_dedup_holds_little():
+    """A block's arrays go as soon as they have been read, and batches of entries and texts stay small: workers count as executor memory."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 20, 2000).tolist())) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.permutation(800)), pa.array(np.arange(800)), pa.array(texts)], names=["id", "print", "text"])
+    tracemalloc.start()
+    try:
+        most = max(b.num_rows for b in substring_dedup._windows(13, 816)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most <= substring_dedup.BATCH_ROWS and peak < 100 * substring_dedup.BLOCK_WINDOWS
+    whole = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts), pa.nulls(800, pa.binary())], names=["id", "text", "runs"])
+    assert [b.num_rows for b in substring_dedup._cut(iter([whole]), 13)] == [512, 288]
+
+
 def test_windows_against_brute_force():
     rng = random.Random(1)
     vocabulary = [f"w{k}".encode() for k in range(30)]

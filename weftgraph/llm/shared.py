@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: The same characters, for translate() and trim().
 SPACE_CHARS = "\t\n\x0b\x0c\r "
 
+#: malloc_trim of the C library, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 SLICE_BYTES = 4 << 20
 CHUNK = 1 << 18
 
@@ -33,6 +38,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give what this process has freed back to the system: Spark keeps workers, and what they keep counts as the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --- word hashing -------------------------------------------------------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -12,15 +12,19 @@ the texts again.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import materialise, mix, pack, shuffle_partitions, text_slices, unpack, window_hashes, word_hashes, word_spans
+from weftgraph.llm.shared import materialise, mix, pack, release, shuffle_partitions, text_slices, unpack, window_hashes, word_hashes, word_spans
 
 BLOCK_WINDOWS = 1 << 20
+#: What a worker holds at once beside its block: bytes of text, and rows of a batch that it makes.
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 512
 #: Removal intervals of up to so many packed bytes are broadcast to the texts; beyond that both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -41,8 +45,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _entries(bucket: np.ndarray, doc: np.ndarray, ids: np.ndarray, prints: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> Iterator[dict]:
-    order = np.argsort(bucket, kind="stable")
-    bucket, doc, place, hashes = bucket[order], doc[order], place[order], hashes[order]
+    """An entry for each bucket; windows come in the order of their buckets."""
     cuts = np.append(_runs(bucket), len(bucket))
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         at = _runs(doc[a:z])
@@ -64,51 +67,75 @@ def _flag_entries(doc: np.ndarray, ids: np.ndarray, prints: np.ndarray, place: n
 
 
 def _block(parts: list, n_buckets: int) -> Iterator[dict]:
-    ids, prints = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    counts = np.concatenate([p[2] for p in parts])
-    hashes, place = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-    doc = np.repeat(np.arange(len(ids)), counts)
+    """The entries of `parts`, which this empties. Arrays go as soon as they have been read, as a block's are most of a worker's memory."""
+    ids, prints, counts, hashes, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     if len(ids) > 1 and np.any(ids[1:] < ids[:-1]):
         by_id = np.argsort(ids, kind="stable")
-        rank = np.empty_like(by_id)
-        rank[by_id] = np.arange(len(ids))
-        order = np.argsort(rank[doc], kind="stable")
-        doc, hashes, place, ids, prints = rank[doc][order], hashes[order], place[order], ids[by_id], prints[by_id]
+        rank = np.empty(len(ids), np.int32)
+        rank[by_id] = np.arange(len(ids), dtype=np.int32)
+        ids, prints, doc = ids[by_id], prints[by_id], rank[doc]
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        hashes = hashes[order]
+        place = place[order]
+        del order
+    rank = np.cumsum(np.append(0, ids[1:] != ids[:-1]), dtype=np.int32) if len(ids) else np.zeros(0, np.int32)  # rows that share an id share a rank
     order = np.argsort(hashes, kind="stable")
     starts = _runs(hashes[order])
-    least = np.empty(len(hashes), np.int64)  # the smallest id that has this hash, by entry
-    least[order] = np.repeat(ids[doc[order[starts]]], np.diff(np.append(starts, len(hashes)))) if len(hashes) else 0
-    ours = ids[doc] == least
+    least = np.empty(len(hashes), np.int32)  # the rank of the smallest id that has this hash, by entry
+    least[order] = np.repeat(rank[doc[order[starts]]], np.diff(np.append(starts, len(hashes))))
+    del order, starts
+    ours = rank[doc] == least
+    del least
     yield from _flag_entries(doc[~ours], ids, prints, place[~ours])
-    bucket = ((hashes[ours] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-    yield from _entries(bucket, doc[ours], ids, prints, place[ours], hashes[ours])
+    doc, place, hashes = doc[ours], place[ours], hashes[ours]
+    del ours
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    doc = doc[order]
+    place = place[order]
+    hashes = hashes[order]
+    del order
+    yield from _entries(bucket, doc, ids, prints, place, hashes)
 
 
 def _windows(window: int, n_buckets: int):
     schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("ids", "prints", "counts", "places", "hashes"))])
 
+    def sent(parts: list) -> Iterator[pa.RecordBatch]:
+        for rows in batched(_block(parts, n_buckets), BATCH_ROWS):
+            yield pa.RecordBatch.from_pylist(list(rows), schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         held = 0
         for batch in batches:
             all_ids, all_prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, j, b, off in text_slices(batch.column(2)):
-                s, e, at = word_spans(b, off)
-                h = window_hashes(word_hashes(b, s, e), window)
-                counts = np.maximum(np.diff(at) - window + 1, 0)
-                first = np.repeat(at[:-1], counts)
-                place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                parts.append((all_ids[i:j], all_prints[i:j], counts, h[first + place], place))
-                held += len(place)
+            for i, j, b, off in text_slices(batch.column(2), SLICE_BYTES):
+                parts.append((all_ids[i:j], all_prints[i:j], *_places(b, off, window)))
+                held += len(parts[-1][-1])
                 if held >= BLOCK_WINDOWS:
-                    yield pa.RecordBatch.from_pylist(list(_block(parts, n_buckets)), schema)
+                    yield from sent(parts)
                     parts, held = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(list(_block(parts, n_buckets)), schema)
+            yield from sent(parts)
+        release()
 
     return run
 
 
+def _places(b: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows by row, hash and place of each window) of some texts."""
+    s, e, at = word_spans(b, off)
+    h = window_hashes(word_hashes(b, s, e), window)
+    counts = np.maximum(np.diff(at) - window + 1, 0)
+    place = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    return counts, h[np.repeat(at[:-1], counts) + place], place
+
+
 def _flagged(n_parts: int):
     """All entries of some hash buckets -> flagged places, packed for each of `n_parts` parts of the documents."""
     schema = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("ids", "prints", "counts", "places"))])
@@ -137,6 +164,7 @@ def _flagged(n_parts: int):
         if not hits:
             return
         ids, prints, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+        hits.clear()
         part = (mix(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
         order = np.lexsort((place, prints, ids, part))
         part, ids, prints, place = part[order], ids[order], prints[order], place[order]
@@ -145,7 +173,9 @@ def _flagged(n_parts: int):
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             at = _runs(ids[a:z], prints[a:z])
             rows.append({"part": int(part[a]), "ids": pack(ids[a:z][at]), "prints": prints[a:z][at].tobytes(), "counts": pack(np.diff(np.append(at, z - a))), "places": pack(place[a:z])})
+        del part, ids, prints, place, order
         yield pa.RecordBatch.from_pylist(rows, schema)
+        release()
 
     return run
 
@@ -169,6 +199,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = at[k : k + 4096]
         runs = pa.array([_intervals(place[cuts[i] : cuts[i + 1]]) for i in range(k, k + len(now))], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(ids[now]), pa.array(prints[now]), runs], names=["id", "print", "runs"])
+    release()
 
 
 def _intervals(place: np.ndarray) -> bytes:
@@ -178,7 +209,7 @@ def _intervals(place: np.ndarray) -> bytes:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
         words_n, removed_n, texts, spans = [], [], [], []
         for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
             words = (text.as_py() or "").encode().split()
@@ -200,6 +231,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             spans.append([{"start": a, "end": z} for a, z in pairs])
         extra = [pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *extra], names=["id", "n_words", "n_removed", "kept_text", "removed"])
+    release()
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
